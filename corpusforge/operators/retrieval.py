@@ -287,7 +287,7 @@ def _descend(points: DataFrame, levels, reach: Column | None = None) -> DataFram
     return points
 
 
-def _scorer(dims: int, k: int):
+def _scorer(dims: int):
     """Task body: for each cell in the pack, the best ``k`` training rows of every point."""
     schema = pa.schema(
         [("pid", pa.int64()), ("cls", pa.string()), ("sims", pa.list_(pa.float64())), ("ids", pa.list_(pa.int64()))]
@@ -298,7 +298,7 @@ def _scorer(dims: int, k: int):
             return np.zeros((len(rows), 0))
         return np.column_stack([table.column(f"u{i}").to_numpy()[rows] for i in range(dims)])
 
-    def best(q, t, ids, floor):
+    def best(q, t, ids, floor, k):
         """(point row, similarity, id) of the top k, by similarity then id; ``t`` is sorted by id."""
         out = []
         step = max(1, SCORE_BLOCK // max(1, len(ids)))
@@ -333,12 +333,13 @@ def _scorer(dims: int, k: int):
         pids, labels = points.column("pid").to_numpy(), points.column("cls")
         found = []
         sorted_p, sorted_t = p_codes[p_order], t_codes[t_order]
+        wanted = points.column("k").to_numpy()
         for code in np.unique(sorted_p):
             mine = p_order[slice(*np.searchsorted(sorted_p, [code, code + 1]))]
             theirs = t_order[slice(*np.searchsorted(sorted_t, [code, code + 1]))]
             if len(theirs) == 0:
                 continue
-            rows, sims, ids = best(matrix(points, mine), matrix(train, theirs), t_ids[theirs], floors[mine])
+            rows, sims, ids = best(matrix(points, mine), matrix(train, theirs), t_ids[theirs], floors[mine], wanted[mine[0]])
             found.append((mine[rows], sims, ids))
         if not found:
             return schema.empty_table()
@@ -359,7 +360,7 @@ def _scorer(dims: int, k: int):
     return score
 
 
-def _score(points: DataFrame, train: DataFrame, dims: int, k: int) -> DataFrame:
+def _score(points: DataFrame, train: DataFrame, dims: int) -> DataFrame:
     """Run the scorer over evenly packed cells; crowded cells are served in several chunks of points."""
     loads = points.groupBy("cell").agg(F.count(F.lit(1)).alias("_points")).persist()
     chunks = F.ceil(F.col("_points") / POINT_CHUNK).cast("int")
@@ -373,46 +374,46 @@ def _score(points: DataFrame, train: DataFrame, dims: int, k: int) -> DataFrame:
     )
     pack = F.pmod(F.xxhash64("cell", "chunk"), F.lit(packs)).alias("pack")
     in_cell = F.concat_ws("#", F.col("chunk").cast("string"), "cell").alias("cell")
-    left = left.select(pack, in_cell, "pid", "cls", "floor", *columns)
+    left = left.select(pack, in_cell, "pid", "cls", "k", "floor", *columns)
     right = right.select(pack, in_cell, "train_id", *columns)
     return (
         left.groupBy("pack")
         .cogroup(right.groupBy("pack"))
-        .applyInArrow(_scorer(dims, k), "pid bigint, cls string, sims array<double>, ids array<bigint>")
+        .applyInArrow(_scorer(dims), "pid bigint, cls string, sims array<double>, ids array<bigint>")
     )
 
 
 def nearest(points: DataFrame, train: DataFrame, dims: int, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``pid, cls, sims, ids``: the k best training rows per point and class, exactly.
 
-    ``points`` has ``pid, lane, cls, vec``; ``train`` has ``lane, cls, train_id, vec``. Order is
-    similarity descending, then ``train_id``.
+    ``points`` has ``pid, lane, cls, k, vec`` with one ``k`` per lane, at most the argument ``k``;
+    ``train`` has ``lane, cls, train_id, vec``. Order is similarity descending, then ``train_id``.
     """
     cell = F.to_json(F.struct("lane", "cls")).alias("cell")
     copies = Window.partitionBy("cell", "vec").orderBy("train_id")
     train = train.select(cell, "train_id", "vec").withColumn("_copy", F.row_number().over(copies))
     train = _scalars(train.filter(F.col("_copy") <= k).drop("_copy"), dims).persist()
-    points = _scalars(points.select("pid", cell, "cls", "vec"), dims).withColumn("floor", F.lit(-2.0))
+    points = _scalars(points.select("pid", cell, "cls", "k", "vec"), dims).withColumn("floor", F.lit(-2.0))
     train, levels = _tile(train, dims, max(cell_rows, 4 * SLICES * k))
     if not levels:
-        return _score(points, train, dims, k)
+        return _score(points, train, dims)
 
     home = _descend(points.withColumn("root", F.col("cell")), levels).persist()
-    first = _score(home.drop("root"), train, dims, k).persist()
-    full = F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(-2.0))
-    bound = first.select("pid", "cls", full.alias("_kth"))
+    first = _score(home.drop("root"), train, dims).persist()
+    bound = first.select("pid", "cls", F.element_at("sims", -1).alias("_kth"), F.size("sims").alias("_got"))
     seeking = home.withColumnRenamed("cell", "_home").withColumnRenamed("root", "cell").drop("floor")
-    seeking = seeking.join(bound, ["pid", "cls"], "left").withColumn("floor", F.coalesce("_kth", F.lit(-2.0)))
+    seeking = seeking.join(bound, ["pid", "cls"], "left")
+    seeking = seeking.withColumn("floor", F.when(F.col("_got") >= F.col("k"), F.col("_kth")).otherwise(F.lit(-2.0)))
     reach = F.sqrt(F.greatest(2.0 - 2.0 * F.col("floor"), F.lit(0.0)) + 1e-12)
-    seeking = seeking.withColumn("_reach", reach).drop("_kth")
+    seeking = seeking.withColumn("_reach", reach).drop("_kth", "_got")
     away = _descend(seeking, levels, F.col("_reach")).filter(F.col("cell") != F.col("_home")).drop("_home", "_reach")
-    second = _score(away, train, dims, k)
+    second = _score(away, train, dims)
     entry = F.explode(F.arrays_zip("sims", "ids")).alias("_e")
     flat = first.unionByName(second).select("pid", "cls", entry).select("pid", "cls", "_e.sims", "_e.ids")
     order = Window.partitionBy("pid", "cls").orderBy(F.col("sims").desc(), "ids")
     top = flat.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
     merged = top.groupBy("pid", "cls").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("sims")).alias("n"), "ids"))).alias("_l")
+        F.sort_array(F.collect_list(F.struct((-F.col("sims")).alias("n"), "ids"))).alias("_l")
     )
     return merged.select(
         "pid", "cls", F.transform("_l", lambda e: -e["n"]).alias("sims"), F.transform("_l", lambda e: e["ids"]).alias("ids")
@@ -437,7 +438,24 @@ def _entries(exclude_self: bool) -> Column:
 
 
 def _first(entries: Column, count: Column) -> Column:
-    return F.slice(F.array_sort(entries), F.lit(1), F.greatest(count, F.lit(0)))
+    return F.slice(F.sort_array(entries), F.lit(1), F.greatest(count, F.lit(0)))
+
+
+def _supply(serving: DataFrame, n: int, k: int, balance: str) -> DataFrame:
+    """``lane, _c, k``: the classes of every lane and how many candidates each must deliver.
+
+    When every class can fill its quota plus one remainder row, nothing is backfilled from other
+    classes and so much per class is enough; otherwise a class may have to deliver all n.
+    """
+    sizes = serving.groupBy("lane", "cls").agg(F.count(F.lit(1)).alias("_rows"))
+    lanes = sizes.groupBy("lane").agg(F.collect_set("cls").alias("_c"), F.min("_rows").alias("_least"))
+    spare = k - n
+    if balance == BINARY:
+        quota = F.lit(n - n // 2 + spare)
+    else:
+        quota = F.floor(F.lit(n) / F.size("_c")).cast("int") + 1 + spare
+    enough = (F.col("_least") >= quota) & (F.size("_c") > 1)
+    return lanes.select("lane", "_c", F.when(enough, F.least(quota, F.lit(k))).otherwise(F.lit(k)).alias("k"))
 
 
 def _pick(n: int, balance: str | None) -> list[tuple[str, Column]]:
@@ -451,10 +469,10 @@ def _pick(n: int, balance: str | None) -> list[tuple[str, Column]]:
         return [
             ("_picked", F.filter(everything, inside)),
             ("_spare", F.filter(everything, lambda e: ~inside(e))),
-            ("_chosen", F.array_sort(F.concat("_picked", _first(F.col("_spare"), F.lit(n) - F.size("_picked"))))),
+            ("_chosen", F.sort_array(F.concat("_picked", _first(F.col("_spare"), F.lit(n) - F.size("_picked"))))),
         ]
     each = F.floor(F.lit(n) / F.greatest(F.col("_classes"), F.lit(1))).cast("int")
-    several = F.array_sort(
+    several = F.sort_array(
         F.concat("_picked", "_next", _first(F.array_except("_spare", "_next"), F.lit(n) - F.size("_picked") - F.size("_next")))
     )
     return [
@@ -513,11 +531,10 @@ def similar_rows(
     points = queries.groupBy("lane", "vec").agg(F.min("query_id").alias("pid")).persist()
     serving = serving.select("lane", "cls", F.col("_row_id").alias("train_id"), "vec")
     if balance is None:
-        classed = points.withColumn("cls", F.lit(""))
+        classed = points.withColumn("cls", F.lit("")).withColumn("k", F.lit(k))
     else:
-        present = serving.groupBy("lane", "cls").agg(F.lit(1).alias("_x"))
-        present = present.groupBy("lane").agg(F.collect_set("cls").alias("_c"))
-        classed = lookup_join(points, present, ["lane"], "inner").withColumn("cls", F.explode("_c")).drop("_c")
+        classed = lookup_join(points, _supply(serving, n, k, balance), ["lane"], "inner")
+        classed = classed.withColumn("cls", F.explode("_c")).drop("_c")
     found = nearest(classed, serving, dims, k, cell_rows)
     per_point = found.groupBy("pid").agg(F.collect_list(F.struct("cls", "sims", "ids")).alias("_found"))
     answers = points.join(per_point, "pid", "left").select("lane", "vec", "_found")

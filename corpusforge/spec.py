@@ -148,13 +148,14 @@ def task_spec(name: str) -> TaskSpec:
 
 
 def project(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """Key, features (categories as text, numbers as double, missing values normalised) and target."""
+    """Key, features (categories as text, whole numbers kept, others as double, missing values normalised), target."""
     from corpusforge.operators.cleaning import category, number
 
     spec = spec.resolve(df)
+    whole = {f.name for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
     return df.select(
         F.col(spec.key).cast("bigint").alias("_row_id"),
-        *[number(F.col(c)).alias(c) for c in spec.num_cols],
+        *[F.col(c) if c in whole else number(F.col(c)).alias(c) for c in spec.num_cols],
         *[category(F.col(c)).alias(c) for c in spec.cat_cols],
         F.col(spec.target),
     )
