@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.functions.numbers import trim_all
 from corpusforge.operators.joins import latest
 from corpusforge.spec import TableSpec
 
@@ -153,5 +152,3 @@ def merge_shards(records: DataFrame, parts: int, name: str = "file") -> DataFram
     )
 
 
-def clean_text(df: DataFrame, cols) -> DataFrame:
-    return df.withColumns({c: trim_all(F.col(c)) for c in cols})
