@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusforge.operators.joins import with_split
 from corpusforge.operators.splits import stratified_split
+from corpusforge.session import materialize
 from corpusforge.spec import BINARY, MULTICLASS, REGRESSION, TableSpec
 
 QUERIES: dict = {}
@@ -94,8 +96,12 @@ def base_sql(name: str) -> str:
 
 def train_of(df: DataFrame, strata: str) -> DataFrame:
     """Training rows of the seeded stratified split."""
-    splits = stratified_split(df, strata).filter("split = 'train'").select("_row_id")
-    return df.join(splits, "_row_id")
+    return with_split(df, splits_of(df, strata), "train").drop("split")
+
+
+def splits_of(df: DataFrame, strata: str) -> DataFrame:
+    """The split table, stored as a user would store it."""
+    return materialize(stratified_split(df, strata))
 
 
 def split_sql(source: str, strata: str, prefix: str = "") -> str:

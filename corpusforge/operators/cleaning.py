@@ -13,6 +13,7 @@ from corpusforge.functions.clinical import (
 )
 from corpusforge.functions.numbers import trim_all
 from corpusforge.operators.joins import first_per_key
+from corpusforge.session import materialize
 
 # Texts that mean "missing", and the share below which a category is rare.
 UNKNOWN_MARK = "?"
@@ -102,13 +103,12 @@ def merge_rare(df: DataFrame, cols, share: float = RARE_SHARE, other: str = "Oth
             F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols])
         ).alias("_e")
     ).select("_e.*")
-    counts = long.filter("value is not null").groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt")).persist()
+    counts = materialize(long.filter("value is not null").groupBy("col", "value").agg(F.count(F.lit(1)).alias("cnt")))
     totals = counts.groupBy("col").agg(F.sum("cnt").alias("total"))
     kept = counts.join(totals, "col").filter(F.col("cnt") / F.col("total") >= share)
     frequent: dict[str, list[str]] = {}
     for row in kept.select("col", "value").collect():
         frequent.setdefault(row["col"], []).append(row["value"])
-    counts.unpersist()
     return df.withColumns(
         {
             c: F.when(F.col(c).isNull() | F.col(c).isin(*frequent.get(c, []), other), F.col(c)).otherwise(other)

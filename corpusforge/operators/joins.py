@@ -1,22 +1,10 @@
-"""Join helpers: size-checked broadcast, one-row-per-key lookups, alignment and overlays."""
+"""Join helpers: one-row-per-key lookups, alignment and overlays."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow table for broadcast only when its counted size allows it.
-
-    The table is kept in executor storage so that counting it does not compute it twice. Beyond the
-    bound it is returned unmarked and the join falls back to a shuffle.
-    """
-    df = df.persist()
-    return F.broadcast(df) if df.count() <= max_rows else df
-
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join many rows to a table with one row per key.
@@ -87,7 +75,7 @@ def attach_block(rows: DataFrame, block: DataFrame) -> DataFrame:
     return rows.select("*", *values)
 
 
-def running(df: DataFrame, by: list[str], order: list, value: str):
+def running(by: list[str], order: list, value: str):
     """Window for sums of everything before the current row."""
     return F.coalesce(
         F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.operators.joins import checked_broadcast
+from corpusforge.session import materialize
 
 ACCURACY = 10_000
 BRACKET = 2.0 / ACCURACY
@@ -28,10 +28,10 @@ def order_values(
 ) -> DataFrame:
     """``by, n, r0, r1, ...``: the values at 0-based ``ranks`` (columns over ``n``) of every group.
 
-    ``base`` has one row per group with ``n`` (non-null values) and ``_brackets``; a rank must lie in
-    a bracket or right beside one. Ranks outside ``0..n-1`` give NULL.
+    ``base`` is a materialized table with one row per group: ``n`` (non-null values) and
+    ``_brackets``; a rank must lie in a bracket or right beside one. Ranks outside ``0..n-1`` give NULL.
     """
-    frame = checked_broadcast(base.select(*by, "n", "_brackets").filter("n > 0"))
+    frame = base.select(*by, "n", "_brackets").filter("n > 0")
     x = F.col(value)
     zone: Column = F.lit(0)
     in_band: Column = F.lit(False)
@@ -85,7 +85,7 @@ def refine(long: DataFrame, base: DataFrame, by: list[str], value: str, probs: l
 def exact_quantiles(long: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
     """``by, n, q0, q1, ...``: exact quantiles of ``value`` per group, NULLs ignored."""
     base = long.groupBy(*by).agg(F.count(value).alias("n"), *bracket_columns(value, probs))
-    base = base.persist()
+    base = materialize(base)
     return base.select(*by, "n").join(refine(long, base, by, value, probs), by, "left")
 
 

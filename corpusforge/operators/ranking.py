@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.operators.joins import checked_broadcast, running
+from corpusforge.operators.joins import running
+from corpusforge.session import materialize
 
 BUCKET_DIGITS = 3
-BUCKET_ROWS = 4_000_000
 
 
 def seeded_hash(seed: int, tag: str, key: str) -> Column:
@@ -25,8 +25,7 @@ def _bucketed(df: DataFrame, by: list[str], seed: int, tag: str, key: str) -> tu
         "_bucket", F.substring("_h", 1, BUCKET_DIGITS)
     )
     counts = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.withColumn("_before", running(counts, by, [F.col("_bucket")], "_cnt"))
-    return hashed, offsets
+    return hashed, materialize(counts.withColumn("_before", running(by, [F.col("_bucket")], "_cnt")))
 
 
 def hash_ranked(df: DataFrame, by: list[str], seed: int, tag: str, key: str = "_row_id", name: str = "_rank") -> DataFrame:
@@ -35,7 +34,7 @@ def hash_ranked(df: DataFrame, by: list[str], seed: int, tag: str, key: str = "_
     same = [F.col(f"h.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, "_bucket"]]
     joined = (
         hashed.alias("h")
-        .join(checked_broadcast(offsets, BUCKET_ROWS).alias("o"), _all(same))
+        .join(offsets.alias("o"), _all(same))
         .select("h.*", "o._before")
     )
     within = Window.partitionBy(*by, "_bucket").orderBy("_h", key)
@@ -52,11 +51,11 @@ def hash_cuts(df: DataFrame, by: list[str], quotas: DataFrame, seed: int, tag: s
     hashed, offsets = _bucketed(df.select(*by, key), by, seed, tag, key)
     same = [F.col(f"o.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by]
     hit = (F.col("o._before") < F.col("q.k")) & (F.col("q.k") <= F.col("o._before") + F.col("o._cnt"))
-    pieces = offsets.alias("o").join(F.broadcast(quotas).alias("q"), _all([*same, hit])).select(
+    pieces = offsets.alias("o").join(quotas.alias("q"), _all([*same, hit])).select(
         *[F.col(f"o.{c}") for c in by], "o._bucket", "q.cut", (F.col("q.k") - F.col("o._before")).alias("_local")
     )
     same = [F.col(f"h.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*by, "_bucket"]]
-    inside = hashed.alias("h").join(checked_broadcast(pieces).alias("p"), _all(same)).select(
+    inside = hashed.alias("h").join(materialize(pieces).alias("p"), _all(same)).select(
         "h.*", "p.cut", "p._local"
     )
     ranked = inside.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "cut").orderBy("_h", key)))
@@ -83,7 +82,7 @@ def dense_positions(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
         piece = _search(F.col(key), cuts, 0, len(cuts))
     ranged = df.withColumn("_piece", piece)
     counts = ranged.groupBy("_piece").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.select("_piece", running(counts, [], [F.col("_piece")], "_cnt").alias("_before"))
+    offsets = counts.select("_piece", running([], [F.col("_piece")], "_cnt").alias("_before"))
     within = Window.partitionBy("_piece").orderBy(key)
     return (
         ranged.join(F.broadcast(offsets), "_piece")

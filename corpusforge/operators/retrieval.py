@@ -29,6 +29,7 @@ from corpusforge.operators.cleaning import category, number
 from corpusforge.operators.joins import lookup_join
 from corpusforge.operators.quantiles import bracket_columns, order_values
 from corpusforge.operators.ranking import hash_ranked, seeded_hash
+from corpusforge.session import materialize
 from corpusforge.spec import BINARY, MULTICLASS, TableSpec
 
 CELL_ROWS = 8_192
@@ -157,7 +158,7 @@ def _with_classes(
 
     own = F.col(target) if exclude_self else F.lit(None)
     if numeric:
-        serving = serving.withColumn("_t", F.col(target).cast("double"))
+        serving = materialize(serving.withColumn("_t", F.col(target).cast("double")))
         split = _median_splits(serving)
         queries = lookup_join(queries.withColumn("_own", own.cast("double")), split, ["group"])
         v, odd = F.col("_own"), F.col("n") % 2 == 1
@@ -173,11 +174,12 @@ def _with_classes(
         queries = queries.drop("_own", "n", "low", "mid", "high")
         is_one = F.col("_t") > F.col("split")
     else:
-        serving = serving.withColumn("_t", F.col(target).cast("string"))
+        serving = materialize(serving.withColumn("_t", F.col(target).cast("string")))
         split = _label_splits(serving, exclude_self)
         queries = queries.withColumn("_own", F.coalesce(own.cast("string"), F.lit("")))
         queries = lookup_join(queries, split, ["group", "_own"]).drop("_own")
         is_one = F.col("_t") == F.col("split")
+    queries = materialize(queries)
     lanes = queries.select("group", "split").distinct().groupBy("group").agg(F.collect_set("split").alias("splits"))
     labeled = lookup_join(serving, lanes, ["group"], "inner").withColumn("split", F.explode("splits"))
     labeled = labeled.withColumn("cls", F.when(is_one, "1").otherwise("0")).drop("splits", "_t")
@@ -192,7 +194,7 @@ def _median_splits(serving: DataFrame) -> DataFrame:
     the two middle values.
     """
     by = ["group"]
-    base = serving.groupBy(*by).agg(F.count("_t").alias("n"), *bracket_columns("_t", [0.5])).persist()
+    base = materialize(serving.groupBy(*by).agg(F.count("_t").alias("n"), *bracket_columns("_t", [0.5])))
     middle = F.floor(F.col("n") / 2)
     odd = F.col("n") % 2 == 1
     ranks = [middle - 1, middle, F.when(odd, middle + 1).otherwise(F.lit(-1))]
@@ -240,21 +242,20 @@ def _tile(train: DataFrame, dims: int, cell_rows: int) -> tuple[DataFrame, list[
     while dims and idle < dims:
         coordinate = len(levels) % dims
         sizes = train.groupBy("cell").agg(F.count(F.lit(1)).alias("_rows"))
-        big = sizes.filter(F.col("_rows") > cell_rows).select("cell").persist()
+        big = materialize(sizes.filter(F.col("_rows") > cell_rows).select("cell"))
         if big.isEmpty():
             break
         u = f"u{coordinate}"
         marked = lookup_join(train, big.withColumn("_big", F.lit(True)), ["cell"])
         probs = [i / SLICES for i in range(1, SLICES)]
-        edges = (
+        edges = materialize(
             marked.filter("_big")
             .groupBy("cell")
             .agg(F.percentile_approx(u, probs, 1_000).alias("edges"))
             .select("cell", F.array_distinct("edges").alias("edges"))
-            .persist()
         )
         cut = lookup_join(train, edges, ["cell"])
-        train = cut.withColumn("cell", _slice_name(F.col(u))).drop("edges").persist()
+        train = materialize(cut.withColumn("cell", _slice_name(F.col(u))).drop("edges"))
         levels.append((coordinate, edges))
         widest = edges.agg(F.max(F.size("edges"))).first()[0]
         idle = idle + 1 if widest <= 1 else 0
@@ -362,7 +363,7 @@ def _scorer(dims: int):
 
 def _score(points: DataFrame, train: DataFrame, dims: int) -> DataFrame:
     """Run the scorer over evenly packed cells; crowded cells are served in several chunks of points."""
-    loads = points.groupBy("cell").agg(F.count(F.lit(1)).alias("_points")).persist()
+    loads = materialize(points.groupBy("cell").agg(F.count(F.lit(1)).alias("_points")))
     chunks = F.ceil(F.col("_points") / POINT_CHUNK).cast("int")
     plan = loads.select("cell", chunks.alias("_chunks"))
     size = loads.agg(F.coalesce(F.sum("_points"), F.lit(0)).alias("p")).first()["p"]
@@ -392,14 +393,14 @@ def nearest(points: DataFrame, train: DataFrame, dims: int, k: int, cell_rows: i
     cell = F.to_json(F.struct("lane", "cls")).alias("cell")
     copies = Window.partitionBy("cell", "vec").orderBy("train_id")
     train = train.select(cell, "train_id", "vec").withColumn("_copy", F.row_number().over(copies))
-    train = _scalars(train.filter(F.col("_copy") <= k).drop("_copy"), dims).persist()
-    points = _scalars(points.select("pid", cell, "cls", "k", "vec"), dims).withColumn("floor", F.lit(-2.0))
+    train = materialize(_scalars(train.filter(F.col("_copy") <= k).drop("_copy"), dims))
+    points = materialize(_scalars(points.select("pid", cell, "cls", "k", "vec"), dims).withColumn("floor", F.lit(-2.0)))
     train, levels = _tile(train, dims, max(cell_rows, 4 * SLICES * k))
     if not levels:
         return _score(points, train, dims)
 
-    home = _descend(points.withColumn("root", F.col("cell")), levels).persist()
-    first = _score(home.drop("root"), train, dims).persist()
+    home = materialize(_descend(points.withColumn("root", F.col("cell")), levels))
+    first = materialize(_score(home.drop("root"), train, dims))
     bound = first.select("pid", "cls", F.element_at("sims", -1).alias("_kth"), F.size("sims").alias("_got"))
     seeking = home.withColumnRenamed("cell", "_home").withColumnRenamed("root", "cell").drop("floor")
     seeking = seeking.join(bound, ["pid", "cls"], "left")
@@ -518,7 +519,9 @@ def similar_rows(
         target = F.col(spec.target) if spec.target in df.columns else F.lit(None)
         return unit_vectors(df, params, vectors).select(*needed, target.alias("_target"), "vec")
 
-    queries, serving = match_groups(prepared(query), prepared(train), spec, n)
+    train_rows = materialize(prepared(train))
+    query_rows = train_rows if query is train else materialize(prepared(query))
+    queries, serving = match_groups(query_rows, train_rows, spec, n)
     if balanced:
         queries, serving = _with_classes(queries, serving, spec, "_target", numeric, exclude_self, binarize)
         balance = MULTICLASS if spec.task == MULTICLASS else BINARY
@@ -527,9 +530,10 @@ def similar_rows(
         serving = serving.withColumn("cls", F.lit(""))
         balance = None
     k = n + 1 if exclude_self else n
-    queries = queries.select(F.col("_row_id").alias("query_id"), "lane", "depth", "vec").persist()
-    points = queries.groupBy("lane", "vec").agg(F.min("query_id").alias("pid")).persist()
-    serving = serving.select("lane", "cls", F.col("_row_id").alias("train_id"), "vec")
+    queries = queries.select(F.col("_row_id").alias("query_id"), "lane", "depth", "vec")
+    queries = materialize(queries)
+    points = materialize(queries.groupBy("lane", "vec").agg(F.min("query_id").alias("pid")))
+    serving = materialize(serving.select("lane", "cls", F.col("_row_id").alias("train_id"), "vec"))
     if balance is None:
         classed = points.withColumn("cls", F.lit("")).withColumn("k", F.lit(k))
     else:

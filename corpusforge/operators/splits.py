@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions.numbers import bin_index, coerce_01
 from corpusforge.operators.quantiles import table_quantiles
+from corpusforge.session import materialize
 from corpusforge.operators.ranking import dense_positions, hash_cuts, hash_ranked, seeded_hash
 
 # 8:1:1 splits, ten target strata for regression, three negatives to one positive.
@@ -58,7 +59,7 @@ def stratified_split(df: DataFrame, strata: str, seed: int = SPLIT_SEED, key: st
     every row's hash with its stratum's cuts. No row is shuffled except one bucket per cut.
     """
     rows = df.select(key, strata)
-    quotas = split_quotas(rows, strata).persist()
+    quotas = materialize(split_quotas(rows, strata))
     stacked = quotas.select(
         strata,
         F.explode(
@@ -69,15 +70,14 @@ def stratified_split(df: DataFrame, strata: str, seed: int = SPLIT_SEED, key: st
         ).alias("_q"),
     ).select(strata, "_q.*")
     cuts = hash_cuts(rows, [strata], stacked, seed, "split", key)
-    wide = cuts.groupBy(strata).agg(
-        *[
-            F.max(F.when(F.col("cut") == c, F.struct("_h", "_k"))).alias(f"_{c}")
-            for c in ("test", "valid")
-        ]
+    wide = materialize(
+        cuts.groupBy(strata).agg(
+            *[F.max(F.when(F.col("cut") == c, F.struct("_h", "_k"))).alias(f"_{c}") for c in ("test", "valid")]
+        )
     )
     here = F.struct(F.col("_h"), F.col(key).alias("_k"))
     marked = rows.alias("r").join(
-        F.broadcast(wide).alias("w"), F.col(f"r.{strata}").eqNullSafe(F.col(f"w.{strata}")), "left"
+        wide.alias("w"), F.col(f"r.{strata}").eqNullSafe(F.col(f"w.{strata}")), "left"
     )
     marked = marked.select(f"r.{key}", "w._test", "w._valid").withColumn("_h", seeded_hash(seed, "split", key))
     split = F.when(here <= F.col("_test"), "test").when(here <= F.col("_valid"), "valid").otherwise("train")
@@ -90,9 +90,9 @@ def stratified_limit(df: DataFrame, label: str, n: int, seed: int = SPLIT_SEED,
     total = F.sum("cnt").over(Window.partitionBy())
     quotas = largest_remainder(counts, label, "cnt", F.least(F.lit(n), total), "_quota")
     quotas = quotas.select(label, F.least("_quota", "cnt").alias("k"), F.lit("keep").alias("cut"))
-    cuts = hash_cuts(df.select(key, label), [label], quotas, seed, "limit", key)
+    cuts = materialize(hash_cuts(df.select(key, label), [label], materialize(quotas), seed, "limit", key))
     marked = df.alias("r").join(
-        F.broadcast(cuts).alias("c"), F.col(f"r.{label}").eqNullSafe(F.col(f"c.{label}"))
+        cuts.alias("c"), F.col(f"r.{label}").eqNullSafe(F.col(f"c.{label}"))
     )
     h = seeded_hash(seed, "limit", f"r.{key}")
     kept = marked.filter(F.struct(h.alias("_h"), F.col(f"r.{key}").alias("_k")) <= F.struct("c._h", "c._k"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusforge.functions.numbers import bin_index
 from corpusforge.operators.cleaning import category, number
 from corpusforge.operators.quantiles import bracket_columns, refine, table_quantiles
+from corpusforge.session import materialize
 from corpusforge.spec import STAT_VARIANTS, TableSpec
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -55,7 +56,7 @@ def num_stats(df: DataFrame, cols, by: list[str] = (), variant: str = "full") ->
     base = long.groupBy(*by, "col").agg(*aggs).filter("n > 0")
     if not wants_quartiles:
         return base.select(*by, "col", "n", "n_missing", *shown)
-    base = base.persist()
+    base = materialize(base)
     quart = refine(long, base, [*by, "col"], "x", QUARTILES)
     named = quart.select(*by, "col", *[F.col(f"q{i}").alias(p) for i, p in enumerate(("p25", "p50", "p75"))])
     return base.join(named, [*by, "col"]).select(*by, "col", "n", "n_missing", *shown)

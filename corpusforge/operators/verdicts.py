@@ -17,6 +17,7 @@ from corpusforge.functions.responses import (
     strip_label,
 )
 from corpusforge.operators.joins import latest
+from corpusforge.session import materialize
 
 KEPT, EMPTY, UNREADABLE, MISMATCH = "kept", "expected_empty", "predicted_parse_fail", "label_mismatch"
 
@@ -125,7 +126,7 @@ def generate_until(
 
     ``generate(batches, temperature)`` maps an iterator of pandas frames with ``_row_id`` and
     ``messages`` to frames with ``_row_id`` and ``raw``; it runs inside the tasks. Results are
-    checkpointed every round, so a lost executor never asks for the same response twice.
+    written every round, so a lost executor never asks for the same response twice.
     """
 
     def ask(rows: DataFrame, heat: float, attempt: int) -> DataFrame:
@@ -140,7 +141,7 @@ def generate_until(
         return verdict(corpus.join(split_responses(outputs), "_row_id"), parse, regression)
 
     total = corpus.count()
-    outputs = ask(corpus, temperature, 0).checkpoint()
+    outputs = materialize(ask(corpus, temperature, 0))
     least_drop = max(1, math.floor(total * 0.001))
     last, stalls = None, 0
     for round_no in range(1, max_rounds + 1):
@@ -154,6 +155,6 @@ def generate_until(
                 break
         rows = corpus.join(again.select("_row_id"), "_row_id", "left_semi")
         rerun = ask(rows, max(temperature, RETRY_TEMPERATURE), round_no)
-        outputs = latest(outputs.unionByName(rerun), ["_row_id"], ["attempt"]).checkpoint()
+        outputs = materialize(latest(outputs.unionByName(rerun), ["_row_id"], ["attempt"]))
         last = failing
     return judge(outputs)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusforge.operators.joins import latest
+from corpusforge.session import materialize
 from corpusforge.spec import TableSpec
 
 # Texts a CSV reader takes for a missing value, and the shard file name.
@@ -140,7 +141,7 @@ def merge_shards(records: DataFrame, parts: int, name: str = "file") -> DataFram
 
     ``records`` carries the file name, its ``mtime`` and ``pos``. Missing parts are an error.
     """
-    files = shard_keys(records.select(name, "mtime").distinct(), name).persist()
+    files = materialize(shard_keys(records.select(name, "mtime").distinct(), name))
     if files.isEmpty():
         raise ValueError("no shard files found")
     lost = missing_parts(files, parts).take(20)
