@@ -242,7 +242,7 @@ def _tile(train: DataFrame, dims: int, cell_rows: int) -> tuple[DataFrame, list[
     while dims and idle < dims:
         coordinate = len(levels) % dims
         sizes = train.groupBy("cell").agg(F.count(F.lit(1)).alias("_rows"))
-        big = materialize(sizes.filter(F.col("_rows") > cell_rows).select("cell"))
+        big = sizes.filter(F.col("_rows") > cell_rows).select("cell")
         if big.isEmpty():
             break
         u = f"u{coordinate}"
@@ -384,18 +384,27 @@ def _score(points: DataFrame, train: DataFrame, dims: int) -> DataFrame:
     )
 
 
+def prune_copies(serving: DataFrame, dims: int, k: int) -> DataFrame:
+    """``lane, cls, cell, train_id, u0..``: at most ``k`` rows of every (lane, class, vector).
+
+    Equal vectors tie on similarity and ties go to the smaller id, so no further copy can be chosen.
+    The limit is applied before the shuffle as well as after it.
+    """
+    cell = F.to_json(F.struct("lane", "cls")).alias("cell")
+    copies = Window.partitionBy("cell", "vec").orderBy("train_id")
+    ranked = serving.select("lane", "cls", cell, "train_id", "vec").withColumn("_copy", F.row_number().over(copies))
+    return materialize(_scalars(ranked.filter(F.col("_copy") <= k).drop("_copy"), dims))
+
+
 def nearest(points: DataFrame, train: DataFrame, dims: int, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``pid, cls, sims, ids``: the k best training rows per point and class, exactly.
 
     ``points`` has ``pid, lane, cls, k, vec`` with one ``k`` per lane, at most the argument ``k``;
-    ``train`` has ``lane, cls, train_id, vec``. Order is similarity descending, then ``train_id``.
+    ``train`` comes from :func:`prune_copies`. Order is similarity descending, then ``train_id``.
     """
     cell = F.to_json(F.struct("lane", "cls")).alias("cell")
-    copies = Window.partitionBy("cell", "vec").orderBy("train_id")
-    train = train.select(cell, "train_id", "vec").withColumn("_copy", F.row_number().over(copies))
-    train = materialize(_scalars(train.filter(F.col("_copy") <= k).drop("_copy"), dims))
-    points = materialize(_scalars(points.select("pid", cell, "cls", "k", "vec"), dims).withColumn("floor", F.lit(-2.0)))
-    train, levels = _tile(train, dims, max(cell_rows, 4 * SLICES * k))
+    points = _scalars(points.select("pid", cell, "cls", "k", "vec"), dims).withColumn("floor", F.lit(-2.0))
+    train, levels = _tile(train.drop("lane", "cls"), dims, max(cell_rows, 4 * SLICES * k))
     if not levels:
         return _score(points, train, dims)
 
@@ -533,7 +542,7 @@ def similar_rows(
     queries = queries.select(F.col("_row_id").alias("query_id"), "lane", "depth", "vec")
     queries = materialize(queries)
     points = materialize(queries.groupBy("lane", "vec").agg(F.min("query_id").alias("pid")))
-    serving = materialize(serving.select("lane", "cls", F.col("_row_id").alias("train_id"), "vec"))
+    serving = prune_copies(serving.withColumnRenamed("_row_id", "train_id"), dims, k)
     if balance is None:
         classed = points.withColumn("cls", F.lit("")).withColumn("k", F.lit(k))
     else:
@@ -554,7 +563,9 @@ def similar_rows(
 def neighbors(*args, **kwargs) -> DataFrame:
     """:func:`similar_rows` in long form: ``query_id, train_id, similarity, rank``."""
     found = similar_rows(*args, **kwargs)
-    return found.select("query_id", F.posexplode("cases").alias("_p", "_c")).select(
+    # the outer form keeps the optimizer from repeating the whole selection in a size filter
+    listed = found.select("query_id", F.posexplode_outer("cases").alias("_p", "_c")).filter("_p is not null")
+    return listed.select(
         "query_id", "_c.train_id", "_c.similarity", (F.col("_p") + 1).cast("bigint").alias("rank")
     )
 
