@@ -68,13 +68,18 @@ def _whole_number(x: Column) -> Column:
 
 
 def py_str(x: Column) -> Column:
-    """Shortest decimal text of a double; an exponent only below 1e-4 or from 1e16 on."""
-    s = x.cast("string")
-    mantissa = F.regexp_extract(s, r"^-?([0-9.]+)E", 1)
-    power = F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
+    """Shortest decimal text of a double; an exponent only below 1e-4 or from 1e16 on.
+
+    The JVM sometimes prints 17 digits where 16 identify the number; those are shortened first.
+    """
+    plain_digits = F.regexp_replace(F.regexp_replace(x.cast("string"), r"E.*$", ""), r"^[-0.]+|[.]", "")
+    shorter = F.upper(F.format_string("%.15e", x))
+    s = F.when((F.length(plain_digits) >= 17) & (shorter.try_cast("double") == x), shorter).otherwise(x.cast("string"))
+    mantissa = F.regexp_replace(F.regexp_extract(s, r"^-?([0-9.]+)E", 1), r"\.?0+$", "")
+    power = F.regexp_extract(s, r"E[+]?(-?[0-9]+)$", 1).try_cast("int")
+    digits = F.regexp_replace(mantissa, r"\.", "")
     sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    left = F.rpad(F.substring(digits, 1, 17), F.greatest(power + 1, F.length(digits)), "0")
+    left = F.rpad(digits, F.greatest(power + 1, F.length(digits)), "0")
     plain = F.concat(
         sign,
         left.substr(F.lit(1), power + 1),
@@ -84,7 +89,7 @@ def py_str(x: Column) -> Column:
     small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
     exp_text = F.concat(
         sign,
-        F.regexp_replace(mantissa, r"\.0$", ""),
+        mantissa,
         F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
         F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), "0"),
     )

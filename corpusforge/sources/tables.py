@@ -119,7 +119,7 @@ def shard_keys(files: DataFrame, name: str = "file") -> DataFrame:
     """Add ``prefix, mode, part, tail`` from the file name; other files are skipped."""
     parts = {k: F.regexp_extract(name, SHARD_NAME, i) for i, k in enumerate(("prefix", "mode", "_part", "tail"), start=1)}
     keyed = files.filter(F.col(name).rlike(SHARD_NAME)).withColumns(parts)
-    return keyed.withColumn("part", F.col("_part").cast("bigint")).drop("_part")
+    return keyed.withColumn("part", F.col("_part").try_cast("bigint")).drop("_part")
 
 
 def latest_part(shards: DataFrame, name: str = "file") -> DataFrame:
