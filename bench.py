@@ -34,6 +34,10 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
+        # long generated methods are not compiled by the JVM; below this size they are split up instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # small inputs, costly rows: keep every core busy after a shuffle
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

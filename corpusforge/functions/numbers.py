@@ -93,8 +93,9 @@ def py_str(x: Column) -> Column:
         F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
         F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), "0"),
     )
+    raw = x.cast("string")
     return (
-        F.when(F.isnan(x), F.lit("nan"))
+        F.when(~raw.contains("E") & (F.length(raw) < 17), F.when(F.isnan(x), F.lit("nan")).otherwise(raw))
         .when(~s.contains("E"), s)
         .when((power >= 0) & (power < 16), plain)
         .when((power < 0) & (power >= -4), small)

@@ -34,6 +34,7 @@ class TableSpec:
     label_display: Mapping[str, str] = field(default_factory=dict)
     descriptions: Mapping[str, str] = field(default_factory=dict)
     description_order: bool = False
+    text_by_features: bool = False
     extra_match_cols: tuple[str, ...] = ()
 
     @property
@@ -67,7 +68,9 @@ class TableSpec:
 
     @property
     def text_order(self) -> tuple[str, ...]:
-        """Described features first, in description order, then the rest."""
+        """Described features first, in description order, then the rest (or plain feature order)."""
+        if self.text_by_features:
+            return self.feature_cols
         first = tuple(c for c in self.descriptions if c in self.feature_cols)
         return first + tuple(c for c in self.feature_cols if c not in first)
 

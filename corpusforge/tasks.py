@@ -194,6 +194,18 @@ register(
             "latitude", "longitude", "median_income", "total_rooms", "total_bedrooms", "population", "households",
             "housing_median_age",
         ),
+        descriptions={
+            "latitude": "Latitude",
+            "longitude": "Longitude",
+            "median_income": "Median income for households within a block of houses (measured in tens of thousands of US Dollars)",
+            "total_rooms": "Total number of rooms within a block",
+            "ocean_proximity": "Location of the house w.r.t ocean/sea.",
+            "total_bedrooms": "Total number of bedrooms within a block",
+            "population": "Total number of people residing within the block",
+            "households": "Total number of households, a group of people residing within a home unit, for a block",
+            "housing_median_age": "Median age of houses in the block",
+        },
+        text_by_features=True,
     ),
     numeric_task(
         4,
@@ -215,6 +227,18 @@ register(
         task=REGRESSION,
         cat_cols=("clarity", "color", "cut"),
         num_cols=("carat", "y", "x", "z", "depth", "table"),
+        descriptions={
+            "carat": "Weight of the diamond (0.2-5.01 carats)",
+            "y": "Width in mm (0-58.9)",
+            "clarity": "Measurement of how clear the diamond is. Ordered from worst to best: I1, SI2, SI1, VS2, VS1, VVS2, VVS1, IF",
+            "color": "Diamond color grade. Ordered from worst to best: J, I, H, G, F, E, D",
+            "x": "Length in mm (0-10.74)",
+            "z": "Depth in mm (0-31.8).",
+            "depth": "Total depth percentage = z / mean(x, y) = 2 * z / (x + y) (43-79)",
+            "cut": "Quality of the cut. Ordered from worst to best: Fair, Good, Very Good, Premium, Ideal",
+            "table": "Width of top of diamond relative to widest point (43-95)",
+        },
+        text_by_features=True,
     ),
     numeric_task(
         2,
@@ -242,6 +266,23 @@ register(
             "EXT_SOURCE_3", "EXT_SOURCE_2", "AMT_GOODS_PRICE", "EXT_SOURCE_1", "AMT_CREDIT", "DAYS_EMPLOYED", "DAYS_BIRTH",
             "AMT_ANNUITY", "DAYS_ID_PUBLISH",
         ),
+        descriptions={
+            "EXT_SOURCE_3": "External risk score 3 (normalized).",
+            "EXT_SOURCE_2": "External risk score 2 (normalized).",
+            "AMT_GOODS_PRICE": "Price of goods for which the loan is requested.",
+            "EXT_SOURCE_1": "External risk score 1 (normalized).",
+            "AMT_CREDIT": "Loan credit amount requested.",
+            "DAYS_EMPLOYED": "Days employed before application (relative days).",
+            "CODE_GENDER": "Client gender.",
+            "NAME_EDUCATION_TYPE": "Highest education level achieved.",
+            "DAYS_BIRTH": "Client age in days at application (relative days).",
+            "AMT_ANNUITY": "Loan annuity amount.",
+            "OCCUPATION_TYPE": "Client occupation type.",
+            "FLAG_OWN_CAR": "Whether the client owns a car (Y/N).",
+            "DAYS_ID_PUBLISH": "Days since ID document update before application.",
+            "ORGANIZATION_TYPE": "Type of organization where client works.",
+            "FLAG_DOCUMENT_3": "Whether document #3 was provided (0/1).",
+        },
     ),
     TaskSpec(
         render_target=choose(default_positive, "yes", "no"),
@@ -328,6 +369,23 @@ register(
             "number_inpatient", "number_diagnoses", "time_in_hospital", "num_lab_procedures", "num_medications",
             "number_outpatient", "num_procedures",
         ),
+        descriptions={
+            "discharge_disposition_id": "Discharge destination/status code from this encounter.",
+            "number_inpatient": "Number of inpatient admissions in the previous year.",
+            "number_diagnoses": "Total number of diagnosis codes recorded in this encounter.",
+            "diag_1": "Primary diagnosis group/category for this encounter.",
+            "age": "Patient age group bucket (<30, 30-60, >60 in this processed dataset).",
+            "diabetesMed": "Whether any diabetes medication was prescribed (Yes/No).",
+            "medical_specialty": "Admitting physician specialty (or 'missing' when unknown).",
+            "time_in_hospital": "Length of stay for this encounter in days.",
+            "num_lab_procedures": "Number of laboratory procedures performed during this encounter.",
+            "admission_source_id": "Admission source code (for example physician referral, ER, transfer).",
+            "num_medications": "Number of distinct medications prescribed during this encounter.",
+            "admission_type_id": "Admission type code (for example emergency, urgent, elective).",
+            "number_outpatient": "Number of outpatient visits in the previous year.",
+            "num_procedures": "Number of non-laboratory procedures performed during this encounter.",
+            "diag_2": "Secondary diagnosis group/category for this encounter.",
+        },
     ),
     multiclass_task(
         READMISSION_LABELS,
