@@ -29,11 +29,11 @@ def cat_sql_top(source: str, columns: list[str], by: str = "", k: int | None = 5
     ]
     keep = f"where rnk <= {k}" if k else ""
     return f"""select * from (select {lead}col, value, count(*) as cnt,
-        sum(count(*)) over (partition by {lead}col) as total,
+        cast(sum(count(*)) over (partition by {lead}col) as bigint) as total,
         round(count(*) / sum(count(*)) over (partition by {lead}col), 6) as prop,
         row_number() over (partition by {lead}col order by count(*) desc, min(_row_id), value) as rnk,
         count(*) over (partition by {lead}col) as n_unique,
-        sum(count(*) filter (where gone)) over (partition by {lead}col) as n_missing
+        cast(sum(count(*) filter (where gone)) over (partition by {lead}col) as bigint) as n_missing
         from ({' union all '.join(parts)}) group by {lead}col, value) {keep}"""
 
 

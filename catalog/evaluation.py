@@ -148,7 +148,7 @@ def pairs(spark, d, t=T3, p=P3):
 
 
 @query("confusion_matrix", predictions_sql(T3, P3) + """ select a.v as y_true, b.v as y_pred, (select count(*) from y where y_true = a.v and y_pred = b.v)
-    as cnt from (select unnest([0, 1, 2]) as v) a, (select unnest([0, 1, 2]) as v) b""")
+    as cnt from (select unnest([0, 1, 2])::bigint as v) a, (select unnest([0, 1, 2])::bigint as v) b""")
 def _(spark, d):
     return M.confusion(pairs(spark, d))
 
@@ -165,9 +165,9 @@ def _(spark, d):
 
 @query("metrics_report", predictions_sql(T3, P3) + PER + """ select cast(label as varchar) as label, round(precision, 6) as precision,
     round(recall, 6) as recall, round(f1, 6) as f1, support from q union all
-    select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support) from q union all
+    select 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(support)::bigint from q union all
     select 'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
-    round(sum(f1 * support) / sum(support), 6), sum(support) from q""")
+    round(sum(f1 * support) / sum(support), 6), sum(support)::bigint from q""")
 def _(spark, d):
     return rounded(M.classification_report(pairs(spark, d)))
 

@@ -176,7 +176,7 @@ def _(spark, d):
 def _(spark, d):
     df = base(spark, d, "customer_segment")
     cases = similar_rows(df, train_of(df, "segment"), SPECS["customer_segment"], 16, exclude_self=True)
-    return cases.select("query_id", "depth", F.size("cases").alias("cases"))
+    return cases.select("query_id", "depth", F.size("cases").cast("bigint").alias("cases"))
 
 
 CATEGORY_SPEC = TableSpec("orders_cat", "status", "multiclass", ("priority", "yr", "status2"), ())
@@ -185,9 +185,9 @@ CATEGORY_SPEC = TableSpec("orders_cat", "status", "multiclass", ("priority", "yr
 @query("knn_no_numbers", f"""{train_sql('orders_status', 'status')},
     v as (select _row_id, {cat_sql('priority')} as c0, yr as c1 from train), g as (select c0, c1, count(*) as n from v group by 1, 2),
     g1 as (select c0, count(*) as n from v group by 1),
-    p as (select q._row_id as qid, t._row_id as tid, 1.0 as sim from v q join g on g.c0 = q.c0 and g.c1 = q.c1 join v t
+    p as (select q._row_id as qid, t._row_id as tid, 1.0::double as sim from v q join g on g.c0 = q.c0 and g.c1 = q.c1 join v t
           on t.c0 = q.c0 and t.c1 = q.c1 and t._row_id <> q._row_id where g.n > 8
-          union all select q._row_id, t._row_id, 1.0 from v q join g on g.c0 = q.c0 and g.c1 = q.c1 join g1 on g1.c0 = q.c0
+          union all select q._row_id, t._row_id, 1.0::double from v q join g on g.c0 = q.c0 and g.c1 = q.c1 join g1 on g1.c0 = q.c0
           join v t on t.c0 = q.c0 and t._row_id <> q._row_id where g.n <= 8 and g1.n > 8),
     pairs as (select * from p) {top_sql(8)}""")
 def _(spark, d):
