@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def even_pieces(rows: int) -> int:
+    """Pieces to deal rows into so that neither the pieces nor the rows of one grow beyond the square root."""
+    return max(1, math.isqrt(rows))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str, rows_per_piece: int = 200_000) -> DataFrame:
     """Add the 0-based place of every row in a total order.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import numbered, words
+from corpusforge.llm.common import even_pieces, numbered, words
 from corpusforge.session import materialize
 
 
@@ -54,29 +54,34 @@ def _same_source(a: str, b: str) -> Column:
     return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
 
-def _extra_rows(sized: DataFrame, wanted: DataFrame, rows_per_piece: int, closing_rounds: int) -> DataFrame:
+def _extra_rows(sized: DataFrame, wanted: DataFrame, closing_rounds: int) -> DataFrame:
     """``_row`` of the documents that get one repetition more, so that a source's sum comes near ``rest``.
 
-    A source's documents in seeded order are taken while they fit. Only counted pieces of the order are
-    summed up across tasks, and only the piece with the cut is ordered row by row. The document whose
-    size is nearest to what is then missing is added, a few times over.
+    Of a source's documents in seeded order, those that fit are taken, then the one at the cut, for which
+    the others make room: so a document that is much of its source does not spoil the sum. Sums run over
+    counted pieces of the order, and rows are ordered inside a piece only. The document whose size is
+    nearest to what is then missing is added, a few times over.
     """
-    pieces = max(1, -(-sized.count() // rows_per_piece))
-    dealt = sized.withColumn("_piece", F.pmod(F.shiftright("_h", 20), F.lit(pieces)))
+    pieces = even_pieces(sized.count())
+    dealt = sized.alias("d").join(wanted.alias("w"), _same_source("d", "w")).filter("size > 0 and size <= rest")
+    dealt = dealt.select("d.*", "w.rest").withColumn("_piece", F.pmod(F.shiftright("_h", 20), F.lit(pieces)))
     sums = dealt.groupBy("source", "_piece").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-    sums = sums.alias("s").join(wanted.alias("w"), _same_source("s", "w")).select("s.*", "w.rest")
-    placed = (
+    inside = F.sum("size").over(Window.partitionBy("source", "_piece").orderBy("_h", "_row"))
+    summed = (
         dealt.alias("d")
         .join(sums.alias("s"), _same_source("d", "s") & (F.col("d._piece") == F.col("s._piece")))
-        .select("d.*", "s._sum", "s._before", "s.rest")
+        .select("d.source", "d.size", "d._row", "d._h", "d._piece", "d.rest", "s._before")
+        .withColumn("_upto", F.col("_before") + inside)
+        .select("source", "size", "_row", "rest", "_upto")
     )
-    whole = placed.filter(F.col("_before") + F.col("_sum") <= F.col("rest")).select("source", "size", "_row")
-    cut = placed.filter((F.col("_before") < F.col("rest")) & (F.col("_before") + F.col("_sum") > F.col("rest")))
-    upto = F.sum("size").over(Window.partitionBy("source", "_piece").orderBy("_h", "_row"))
-    prefix = cut.withColumn("_upto", F.col("_before") + upto).filter(F.col("_upto") <= F.col("rest"))
-    taken = materialize(whole.unionByName(prefix.select("source", "size", "_row")))
+    summed = materialize(summed)
+    crossing = (F.col("_upto") > F.col("rest")) & (F.col("_upto") - F.col("size") < F.col("rest"))
+    at_cut = materialize(summed.filter(crossing).select("source", "size", "_row"))
+    room = summed.alias("s").join(at_cut.alias("c"), _same_source("s", "c"), "left")
+    fits = F.col("s._upto") <= F.col("s.rest") - F.coalesce(F.col("c.size"), F.lit(0))
+    taken = materialize(room.filter(fits).select("s.source", "s.size", "s._row").unionByName(at_cut))
     for _ in range(closing_rounds):
         have = taken.groupBy("source").agg(F.sum("size").alias("have"))
         missing = (
@@ -107,7 +112,6 @@ def mix_plan(
     key: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    rows_per_piece: int = 100_000,
     closing_rounds: int = 2,
 ) -> DataFrame:
     """``_row, key, size, rows, source_size, target, copies`` per class of equal (key, text, source).
@@ -136,7 +140,7 @@ def mix_plan(
         )
     )
     extra = _extra_rows(
-        classes.select("source", "size", "_h", "_row"), wanted.select("source", "rest"), rows_per_piece, closing_rounds
+        classes.select("source", "size", "_h", "_row"), wanted.select("source", "rest"), closing_rounds
     ).withColumn("_more", F.lit(1))
     planned = classes.join(extra, "_row", "left").alias("c").join(wanted.alias("w"), _same_source("c", "w"))
     return planned.select(

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusforge.llm.common import even_pieces
 from corpusforge.session import materialize
 
 #: region -> racks -> (shard, weight)
@@ -50,7 +51,6 @@ def assign(
     text: str = "text",
     overhead: int = 16,
     seed: int = 42,
-    rows_per_piece: int = 100_000,
 ) -> DataFrame:
     """``key, size, text_crc32, shard, slot, grown_shard`` for every row.
 
@@ -67,7 +67,7 @@ def assign(
         (tree_shard(F.col(key), grown, seed) if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
     narrow = materialize(narrow)
-    pieces = max(1, -(-narrow.count() // rows_per_piece))
+    pieces = even_pieces(narrow.count())
     # rows of one key may be many: the checksum and size spread them as well
     dealt = narrow.withColumn("_piece", F.pmod(F.xxhash64("_key", "size", "text_crc32"), F.lit(pieces)))
     counts = dealt.groupBy("shard", "_piece").agg(F.count(F.lit(1)).alias("_n"))

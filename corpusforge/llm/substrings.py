@@ -25,7 +25,7 @@ from corpusforge.llm.common import Words, key_column, text_bytes, text_groups
 
 WINDOW, ANCHOR = 20, 8
 #: Text per reference block, and windows a task holds before it sends them.
-BLOCK_BYTES, HELD_WINDOWS = 4 << 20, 3_000_000
+BLOCK_BYTES, HELD_WINDOWS = 3 << 20, 1_000_000
 _SENT = "block int, hashes binary, run_key binary, run_start binary, run_n binary, hit_key binary, hit_start binary, hit_n binary, hit_ref binary, hit_ref_start binary"
 _SPANS = "_key long, start int, n int, ref_key long, ref_start int"
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,8 @@ from pyspark.sql import functions as F
 from corpusforge.llm.common import text_groups
 
 BATCH_BYTES = 1 << 20
-#: Words kept per generation of a memo; two generations are alive at a time.
-MEMO_WORDS = 400_000
-#: Longer words are encoded each time.
+#: Most words that a task's memo keeps, and the longest it keeps, in bytes; longer ones are encoded in every batch.
+MEMO_WORDS = 800_000
 MEMO_WORD_BYTES = 64
 _CUT = re.compile(rb"[\x20\x09-\x0D]")
 _encoders: dict[str, object] = {}
@@ -37,8 +37,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Index(dict):
+    """Number of every known word; a new word gets the next number and is noted."""
+
+    def __init__(self):
+        self.next, self.fresh = 0, []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = self.next
+        self.next += 1
+        self.fresh.append(word)
+        return number
+
+
 class WordEncoder:
-    """Token ids of words, as little-endian 32-bit bytes, for vocabularies to which white space is a boundary."""
+    """Token ids of texts for vocabularies to which white space is a boundary: each word is encoded once.
+
+    Known words are numbered, so a batch of texts becomes an array of numbers, and ids and lengths are
+    gathered from arrays. When the memo is full, the words used least are forgotten.
+    """
 
     def __init__(self, name: str, memo_words: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,52 +63,99 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(vocabulary(name))
         self.memo_words = memo_words
-        self.recent: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self._start_anew([], np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64))
         # a character that is one token, to tell where a word's ids end when many are encoded in one call
         self.mark, self.mark_id = next(
             ((c, ids[0]) for c in "€£©®°→|~" if len(ids := self._raw([c])[0]) == 1), (None, None)
         )
 
+    def _start_anew(self, words: list[bytes], ids: np.ndarray, n: np.ndarray, uses: np.ndarray) -> None:
+        self.index = _Index()
+        self.index.update(zip(words, range(len(words))))
+        self.index.next = len(words)
+        self.flat, self.n, self.uses = ids, n, uses
+        self.start = np.cumsum(n) - n
+
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, new: list[bytes]) -> None:
-        """Encode words in joint calls; those that contain the mark go alone."""
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words end to end, and how many each has. Words that contain the mark are encoded alone."""
         mark = self.mark.encode() if self.mark else b""
-        alone = [w for w in new if not mark or mark in w]
-        joint = [w for w in new if mark and mark not in w]
-        for w, ids in zip(alone, self._raw([w.decode() for w in alone])):
-            self.recent[w] = np.array(ids, "<u4").tobytes()
-        if not joint:
+        joint = [i for i, w in enumerate(words) if mark and mark not in w]
+        n, parts, where = np.zeros(len(words), np.int64), [], []
+        for lo in range(0, len(joint), 50_000):
+            some = joint[lo : lo + 50_000]
+            runs = [some[i : i + 500] for i in range(0, len(some), 500)]
+            for run, ids in zip(runs, self._raw([(b" " + mark + b" ").join([words[i] for i in r]).decode() for r in runs])):
+                ids = np.array(ids, "<u4")
+                stops = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+                n[run] = np.diff(stops, prepend=-1) - 1
+                parts.append(ids[ids != self.mark_id])
+                where += run
+        alone = [i for i, w in enumerate(words) if not mark or mark in w]
+        for i, ids in zip(alone, self._raw([words[i].decode() for i in alone])):
+            n[i] = len(ids)
+            parts.append(np.array(ids, "<u4"))
+            where.append(i)
+        # back to the order of the words
+        flat = np.concatenate([np.zeros(0, "<u4"), *parts])
+        if alone and joint:
+            began = np.zeros(len(words), np.int64)
+            began[where] = np.cumsum(n[where]) - n[where]
+            flat = flat[np.repeat(began - (np.cumsum(n) - n), n) + np.arange(len(flat))]
+        return flat, n
+
+    def _numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words, and how many words each text has; new words are encoded."""
+        split = [t.split() for t in texts]
+        sizes = np.array([len(ws) for ws in split], np.int64)
+        numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        fresh, self.index.fresh = self.index.fresh, []
+        if fresh:
+            flat, n = self._encoded(fresh)
+            self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(n) - n))
+            self.flat, self.n = np.concatenate((self.flat, flat)), np.concatenate((self.n, n))
+            self.uses = np.concatenate((self.uses, np.zeros(len(n), np.int64)))
+            for w in fresh:
+                if len(w) > MEMO_WORD_BYTES:
+                    del self.index[w]
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        return numbers, sizes
+
+    def _forget(self) -> None:
+        """Past the limit, keep the half of the words that were used most; their uses count half from now on."""
+        if self.index.next <= self.memo_words:
             return
-        runs = [joint[i : i + 500] for i in range(0, len(joint), 500)]
-        texts = [(b" " + mark + b" ").join(r).decode() for r in runs]
-        for run, ids in zip(runs, self._raw(texts)):
-            all_ids = np.array(ids, "<u4")
-            stops = np.append(np.flatnonzero(all_ids == self.mark_id), len(all_ids)) * 4
-            raw, at = all_ids.tobytes(), 0
-            for w, stop in zip(run, stops.tolist()):
-                self.recent[w] = raw[at:stop]
-                at = stop + 4
+        words = np.array(list(self.index.values()), np.int64)
+        names = list(self.index)
+        keep = np.sort(np.argsort(-self.uses[words], kind="stable")[: self.memo_words // 2])
+        numbers = words[keep]
+        n = self.n[numbers]
+        heads = np.cumsum(n) - n
+        flat = self.flat[np.repeat(self.start[numbers] - heads, n) + np.arange(int(n.sum()))]
+        self._start_anew([names[i] for i in keep.tolist()], flat, n, self.uses[numbers] // 2)
+
+    def counts(self, texts: list[bytes], piece_bytes: int = BATCH_BYTES) -> list[int]:
+        """Number of tokens of each text; a long one is taken in pieces."""
+        if len(texts) == 1 and len(texts[0]) > piece_bytes:
+            return [sum(self.counts([p], len(p))[0] for p in pieces(texts[0], piece_bytes))]
+        numbers, sizes = self._numbers(texts)
+        ends = np.concatenate(([0], np.cumsum(self.n[numbers])))[np.concatenate(([0], np.cumsum(sizes)))]
+        self._forget()
+        return np.diff(ends).tolist()
 
     def ids(self, texts: list[bytes], piece_bytes: int = BATCH_BYTES) -> list[bytes]:
-        """Ids of each text; a long one is taken in pieces."""
+        """Ids of each text as bytes; a long one is taken in pieces."""
         if len(texts) == 1 and len(texts[0]) > piece_bytes:
             return [b"".join(self.ids([p], len(p))[0] for p in pieces(texts[0], piece_bytes))]
-        split = [t.split() for t in texts]
-        new = set().union(*split) - self.recent.keys() if split else set()
-        if new:
-            for w in new & self.older.keys():
-                self.recent[w] = self.older[w]
-            self._fresh([w for w in new if w not in self.older])
-        get = self.recent.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
-        for w in [w for w in new if len(w) > MEMO_WORD_BYTES]:
-            del self.recent[w]
-        if len(self.recent) > self.memo_words:
-            self.older, self.recent = self.recent, {}
-        return out
+        numbers, sizes = self._numbers(texts)
+        n = self.n[numbers]
+        before = np.concatenate(([0], np.cumsum(n)))
+        flat = self.flat[np.repeat(self.start[numbers] - before[:-1], n) + np.arange(int(before[-1]))]
+        ends = before[np.concatenate(([0], np.cumsum(sizes)))].tolist()
+        self._forget()
+        return [flat[lo:hi].tobytes() for lo, hi in zip(ends, ends[1:])]
 
 
 def encoder(name: str) -> WordEncoder:
@@ -155,7 +219,7 @@ def token_counts(
         for keys, texts in text_groups(batches, batch_bytes):
             texts = [t or b"" for t in texts]
             if drops_space:
-                n = [len(ids) // 4 for ids in encoder(vocabulary_name).ids(texts)]
+                n = encoder(vocabulary_name).counts(texts)
             else:
                 n = whole_counts(vocabulary_name, texts)
             rest = pa.RecordBatch.from_pydict({"n_bytes": [len(t) for t in texts], "n_tokens": n}, schema=out_schema)
