@@ -5,7 +5,8 @@ the base rules are counted per stratum, rule and cutoff. A cutoff is certified w
 bound (Clopper and Pearson) on its share of good documents rejected stays below the rule's part of the
 allowed risk. The ladders are tested in fixed order up to the first failure, and the error probability
 is divided by rules and strata (Bonferroni), so with probability ``1 - delta`` no stratum loses more than
-``risk`` of its good documents. Of the certified cutoffs, the one that best separates bad from good is used.
+``risk`` of its good documents. Of the certified cutoffs, the one that catches most bad documents beyond
+the good ones it loses is used, if these are a hundredth of the bad ones at least.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from corpusforge.llm.common import SPACES, let, words
 from corpusforge.session import materialize
 
 SYMBOLS = "#*$%&|<>"
+#: Least share of bad documents, net of good ones lost, for which a rule is applied.
+LEAST_GAIN = 0.01
 #: Rule -> score (larger is worse) over the base columns, cutoffs from lax to strict.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "symbols": ("n_symbols / word_chars", (0.5, 0.3, 0.2, 0.15, 0.1, 0.08, 0.06, 0.04, 0.03, 0.02)),
@@ -147,8 +150,8 @@ def certified_cutoffs(labelled: DataFrame, stratum: str, risk: float, delta: flo
     tested = counts.withColumn("p_value", p_value).withColumn(
         "certified", F.max((F.col("p_value") > delta / tests).cast("int")).over(upto) == 0
     )
-    gain = F.col("bad_caught") / F.greatest(F.col("n_bad"), F.lit(1)) - F.col("good_lost") / F.greatest(F.col("n_good"), F.lit(1))
-    gain = F.when(F.col("certified") & (gain > 0), F.round(gain, 9))
+    gain = (F.col("bad_caught") - F.col("good_lost")) / F.greatest(F.col("n_bad"), F.lit(1))
+    gain = F.when(F.col("certified") & (gain >= LEAST_GAIN), gain)
     best = Window.partitionBy(stratum, "rule").orderBy(F.col("_gain").desc_nulls_last(), "step")
     return (
         tested.withColumn("_gain", gain)

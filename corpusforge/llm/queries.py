@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import fingerprints, lines, mixing, packing, quality, sharding, simhash, substrings, tokens, urls
+from corpusforge.llm import fingerprints, lines, mixing, oracles, packing, quality, sharding, simhash, substrings, tokens, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,7 +38,7 @@ def op2(spark, folder):
     return plan.select("doc_id", "size", "source_size", "target", taken, each).drop("_i")
 
 
-@query("op3_document_fingerprints")
+@query("op3_document_fingerprints", oracles.FINGERPRINTS)
 def op3(spark, folder):
     return fingerprints.compare_with_next(table(spark, folder, "documents"))
 
@@ -66,16 +66,16 @@ def op7(spark, folder):
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-@query("op8_substring_dedup")
+@query("op8_substring_dedup", oracles.SUBSTRINGS)
 def op8(spark, folder):
     return substrings.digest(substrings.dedup_substrings(table(spark, folder, "documents")))
 
 
-@query("op9_url_filters")
+@query("op9_url_filters", oracles.url_sql())
 def op9(spark, folder):
     return urls.judge_urls(table(spark, folder, "pages"))
 
 
-@query("op10_quality_rules")
+@query("op10_quality_rules", oracles.quality_sql())
 def op10(spark, folder):
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
