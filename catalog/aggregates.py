@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import SPECS, base, base_sql, cat_sql, query, rounded, split_sql, table, train_of, train_sql
+from catalog.base import SPECS, base, base_sql, cat_sql, query, rounded, split_sql, table, train_of, train_sql, union_all
 from corpusforge.operators import stats as S
 from corpusforge.operators.quantiles import exact_quantiles
 from corpusforge.operators.retrieval import prefix_counts, scale_params
 from corpusforge.operators.splits import stratified_split
+from corpusforge.session import materialize
 
 NUMBERS = """count(x) as n, count(*) - count(x) as n_missing, round(avg(x), 4) as mean, round(stddev_samp(x), 4) as std,
     round(quantile_cont(x, 0.25), 4) as p25, round(quantile_cont(x, 0.5), 4) as p50, round(quantile_cont(x, 0.75), 4) as p75,
@@ -196,9 +197,38 @@ def _(spark, d):
     return union_all([S.infer_task(df, c).select(F.lit(n).alias("source"), "task") for n, df, c in cases])
 
 
-@query("stats_document")
+@query("stats_document", f"""{train_sql('customer_segment', 'segment')}, v as (select nation, count(*) as cnt, row_number() over
+    (order by count(*) desc, min(_row_id)) as rnk from train group by 1), n as (select count(*)::double as n from train),
+    s as (select count(acctbal)::double as n, (count(*) - count(acctbal))::double as n_missing, avg(acctbal) as mean, stddev_samp(acctbal) as std,
+        quantile_cont(acctbal, 0.25) as p25, quantile_cont(acctbal, 0.5) as p50, quantile_cont(acctbal, 0.75) as p75,
+        min(acctbal) as min, max(acctbal) as max from train)
+    select 'num' as part, 'acctbal' as name, stat as item, round(x, 6) as value from s unpivot (x for stat in (n, n_missing, mean, std, p25, p50, p75, min, max))
+    union all select 'cat', 'nation', nation, cnt from v where rnk <= 5
+    union all select 'cat_share', 'nation', nation, round(cnt / n, 6) from v, n where rnk <= 5
+    union all select 'cat_unique', 'nation', 'n', count(*) from v
+    union all select 'target', 'segment', segment, count(*) from train group by 3
+    union all select 'target_share', 'segment', segment, round(count(*) / any_value(n), 6) from train, n group by 3
+    union all select 'rows', 'train', 'n', n from n""")
 def _(spark, d):
     train, spec = train_of(base(spark, d, "customer_segment"), "segment"), SPECS["customer_segment"]
-    return S.stats_document(
-        S.num_stats(train, spec.num_cols), S.cat_stats(train, spec.cat_cols), S.target_dist(train, spec.target)
+    document = materialize(
+        S.stats_document(S.num_stats(train, spec.num_cols), S.cat_stats(train, spec.cat_cols), S.target_dist(train, spec.target))
     )
+
+    numbers = document.select(F.explode("num_stats").alias("name", "s"))
+    stats = [f for f in document.schema["num_stats"].dataType.valueType.names]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("item"), F.col(f"s.{c}").cast("double").alias("value")) for c in stats])).alias("e")
+    cats = document.select(F.explode("cat_stats").alias("name", "s"))
+    top = cats.select("name", F.explode(F.arrays_zip("s.top_values", "s.top_counts", "s.top_proportions")).alias("e"))
+    target = document.select(F.lit("segment").alias("name"), "target_dist", "target_proportions")
+    parts = [
+        numbers.select(F.lit("num").alias("part"), "name", each).select("part", "name", "e.item", "e.value"),
+        top.select(F.lit("cat"), "name", "e.top_values", "e.top_counts"),
+        top.select(F.lit("cat_share"), "name", "e.top_values", "e.top_proportions"),
+        cats.select(F.lit("cat_unique"), "name", F.lit("n"), "s.n_unique"),
+        target.select(F.lit("target"), "name", F.explode("target_dist")),
+        target.select(F.lit("target_share"), "name", F.explode("target_proportions")),
+        document.select(F.lit("rows"), F.lit("train"), F.lit("n"), "n_train"),
+    ]
+    named = [x.toDF("part", "name", "item", "value").withColumn("value", F.col("value").cast("double")) for x in parts]
+    return rounded(union_all(named))

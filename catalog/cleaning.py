@@ -53,11 +53,26 @@ def _(spark, d):
 
 
 @query("clean_exclude_by_keyword", """select l_orderkey, l_partkey, l_quantity from lineitem where l_partkey not in
-    (select p_partkey from part where lower(p_name) like '%hospice%' or lower(p_name) like '%expired%' or
-     lower(p_name) like '%death%') and l_partkey not in (11, 13, 14, 19, 20, 21)""")
+    (select p_partkey from part where lower(p_name) like '%ring%' or lower(p_name) like '%widget%')""")
 def _(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    return C.exclude_by_keyword(lines, "l_partkey", table(spark, d, "part"), "p_partkey", "p_name")
+    return C.exclude_by_keyword(lines, "l_partkey", table(spark, d, "part"), "p_partkey", "p_name", ("ring", "widget"))
+
+
+@query("clean_exclude_default_codes", """select l_orderkey, l_partkey, l_quantity from lineitem where
+    l_partkey not in (11, 13, 14, 19, 20, 21)""")
+def _(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    return C.exclude_by_keyword(lines, "l_partkey", table(spark, d, "part"), "p_partkey", "p_name", ("no such word",))
+
+
+TEXT_CODE = "case when o_orderkey % 17 = 0 then '?' when o_orderkey % 5 = 0 then cast(o_orderkey % 28 + 1 as string) || '.0' else cast(o_orderkey % 28 + 1 as string) end"
+
+
+@query("clean_exclude_text_codes", f"""select o_orderkey, {TEXT_CODE} as code from orders
+    where coalesce(try_cast({TEXT_CODE} as double) not in (11, 13, 14, 19, 20, 21), true)""")
+def _(spark, d):
+    return C.exclude_codes(table(spark, d, "orders").select("o_orderkey", F.expr(TEXT_CODE).alias("code")), "code")
 
 
 @query("clean_drop_columns", "select c_custkey, c_nationkey, c_mktsegment from customer")
@@ -411,22 +426,6 @@ def _(spark, d):
     return IO.missing_parts(files, 6)
 
 
-WHOLE = """select c_custkey as pos, c_name as output, 1000 + c_custkey % 2 as mtime,
-    c_mktsegment || '_mode_finetune_' || cast(c_custkey % 3 + 1 as string) || '_finetune_a_final.json' as name,
-    c_custkey % 2 as version from """
-
-
-@query("shard_merge", f"""select regexp_extract(name, '^(.+)_mode_', 1) as prefix, 'finetune' as mode, 'finetune_a_final.json' as tail,
-    cast(c_part as bigint) as part, pos, output from (select *, pos % 3 + 1 as c_part from ({WHOLE} customer)) where version = 1""")
-def _(spark, d):
-    rows = spark.sql(f"{WHOLE} parquet.`{d}/customer.parquet`")
-    stamped = rows.withColumn("file", F.concat(F.lit("v"), F.col("version").cast("string"), F.lit("/"), "name"))
-    keyed = IO.shard_keys(stamped.withColumn("path", F.col("file")).withColumn("file", F.col("name")))
-    newest = IO.latest_part(keyed.withColumnRenamed("file", "_name").withColumnRenamed("path", "file"))
-    named = keyed.select("path", "pos", "output").withColumnRenamed("path", "file")
-    return named.join(newest, "file").select("prefix", "mode", "tail", "part", "pos", "output")
-
-
 # ---------------------------------------------------------------- scalars
 
 TEXT_NUMBER = """case o_orderkey % 5 when 0 then ' ' || cast(o_custkey as string) || ',000.5' when 1 then '' when 2 then 'n/a'
@@ -471,3 +470,12 @@ def _(spark, d):
 @query("format_percent", "select o_orderkey, printf('%.1f', o_custkey / 1499.0 * 100.0) || '%' as share from orders")
 def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", fmt_pct(F.col("o_custkey") / 1499.0).alias("share"))
+
+
+@query("format_four_digits", """select o_orderkey, printf('%.4f', x) as four, printf('%.6f', x) as six, printf('%.1f', x) as one
+    from (select o_orderkey, (o_custkey - 700) / cast(pow(2, o_orderkey % 20 + 3) as double) as x from orders)""")
+def _(spark, d):
+    x = (F.col("o_custkey") - 700) / F.pow(F.lit(2.0), F.col("o_orderkey") % 20 + 3)
+    return table(spark, d, "orders").select(
+        "o_orderkey", fmt_fixed(x, 4).alias("four"), fmt_fixed(x, 6).alias("six"), fmt_fixed(x, 1).alias("one")
+    )

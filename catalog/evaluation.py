@@ -9,9 +9,9 @@ from catalog.text import STATUS_TASK
 from corpusforge.functions import responses as R
 from corpusforge.operators import metrics as M
 from corpusforge.operators import verdicts as V
-from corpusforge.session import materialize, shared_folder
+from corpusforge.session import shared_folder
 from corpusforge.sources.tables import append_outputs, read_outputs
-from corpusforge.streaming.verdicts import stream_counts, stream_verdicts
+from corpusforge.streaming.verdicts import current_verdicts, stream_verdicts, verdict_totals, write_verdicts
 
 # Expected labels and responses derived from orders: a right line, a bold line, two conflicting lines,
 # no line, another label; every 23rd row has no expected label.
@@ -86,6 +86,13 @@ def _(spark, d):
     return V.final_corpus(judged(spark, d), "Reason.")
 
 
+def status_corpus(spark, d):
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("_row_id"), F.lit("Do it.").alias("instruction"), F.lit("text").alias("input"),
+        F.lower("o_orderstatus").alias("output"),
+    )
+
+
 def answer(batches, heat):
     """A stand-in for a model: even rows answer at once, the rest only when asked again at some heat."""
     for pdf in batches:
@@ -98,15 +105,45 @@ def answer(batches, heat):
 @query("generate_until", f"""select o_orderkey as _row_id, case when o_orderkey % 50 = 1 then 0 when o_orderkey % 2 = 0 then 0 else 1 end as attempt0,
     case when o_orderkey % 50 = 1 then 'predicted_parse_fail' else 'kept' end as status from orders""")
 def _(spark, d):
-    corpus = table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("_row_id"), F.lit("Do it.").alias("instruction"), F.lit("text").alias("input"),
-        F.lower("o_orderstatus").alias("output"),
-    )
-    done = V.generate_until(corpus, answer, STATUS_TASK.parse)
+    done = V.generate_until(status_corpus(spark, d), answer, STATUS_TASK.parse)
     first = F.when(F.col("status") == V.KEPT, F.col("attempt")).otherwise(0)
     return done.select("_row_id", first.alias("attempt0"), "status")
 
 
+def answer_new(batches, heat):
+    """A stand-in that must not be asked about rows divisible by 4."""
+    for pdf in answer(batches, heat):
+        yield pdf.assign(raw=pdf["raw"].where(pdf["_row_id"] % 4 != 0, "asked twice"))
+
+
+@query("generate_resumed", f"""select o_orderkey as _row_id, case when o_orderkey % 50 = 1 then 'predicted_parse_fail' else 'kept' end as status,
+    case when o_orderkey % 4 = 0 then 'logged' when o_orderkey % 2 = 0 then 'first' when o_orderkey % 50 = 1 then 'open' else 'again' end as asked
+    from orders""")
+def _(spark, d):
+    corpus = status_corpus(spark, d)
+    right = F.concat(F.lit("Prediction is "), "output", F.lit("."))
+    known = corpus.filter("_row_id % 4 = 0").select("_row_id", F.lit(0).alias("attempt"), right.alias("raw"))
+    path = response_log(spark, known)
+    V.generate_until(corpus, answer_new, STATUS_TASK.parse, log=path)
+    done = V.verdict(V.split_responses(read_outputs(spark, path)).join(corpus, "_row_id"), STATUS_TASK.parse)
+    asked = F.when(F.col("_row_id") % 4 == 0, "logged").when(F.col("status") != V.KEPT, "open").when(F.col("attempt") == 0, "first").otherwise("again")
+    return done.select("_row_id", "status", asked.alias("asked"))
+
+
+def answer_wrong(batches, heat):
+    """A stand-in that always names a label, often a wrong one, except where it is first asked about multiples of 3."""
+    for pdf in batches:
+        named = (heat > 0) | (pdf["_row_id"] % 3 != 0)
+        yield pdf[["_row_id"]].assign(raw=named.map({True: "Prediction is p.", False: "well"}))
+
+
+@query("predict_until_parsed", """select o_orderkey as _row_id, case when o_orderkey % 3 = 0 then 1 else 0 end as attempt, 'p' as predicted,
+    case when o_orderstatus = 'P' then 'kept' else 'label_mismatch' end as status from orders""")
+def _(spark, d):
+    done = V.generate_until(status_corpus(spark, d), answer_wrong, STATUS_TASK.parse, failures=V.unparsed_verdicts)
+    return done.select("_row_id", "attempt", "predicted", "status")
+
+
 # ---------------------------------------------------------------- scores
 
 PRED = """select o_orderkey as "index", {t} as target, case when o_orderkey % 29 = 0 then null when o_orderkey % 31 = 0 then 'nonsense'
@@ -249,31 +286,34 @@ def run_stream(df, mode: str, folder: str, name: str):
     stream.awaitTermination()
 
 
+def rerun_log(spark, d):
+    """A log in which rows divisible by 3 failed at first, and one line is broken; and the corpus."""
+    corpus, outputs = corpus_of(spark, d)
+    failed = outputs.filter("_row_id % 3 = 0").select("_row_id", F.lit(0).alias("attempt"), F.lit("no answer").alias("raw"))
+    path = response_log(spark, outputs.unionByName(failed))
+    spark.createDataFrame([('{"_row_id": 1, "attempt": 9, "raw": "cut o',)], "value string").write.mode("append").text(path)
+    return corpus, path
+
+
+def judged_by_stream(spark, d):
+    corpus, path = rerun_log(spark, d)
+    verdicts = stream_verdicts(spark, path, corpus, STATUS_TASK.parse, files_per_trigger=2)
+    write_verdicts(verdicts.select("_row_id", "attempt", "predicted", "status"), f"{path}-out", f"{path}-state").awaitTermination()
+    return current_verdicts(spark, f"{path}-out")
+
+
 @query("stream_verdicts", f"{BASE} select _row_id, predicted, status from v")
 def _(spark, d):
-    import uuid
-
-    corpus, outputs = corpus_of(spark, d)
-    path = response_log(spark, outputs)
-    name = f"verdicts_{uuid.uuid4().hex}"
-    judged_stream = stream_verdicts(spark, path, corpus, STATUS_TASK.parse, files_per_trigger=2).select("_row_id", "predicted", "status")
-    sink, state = f"{path}-out", f"{path}-state"
-    started = (
-        judged_stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state)
-        .outputMode("append").trigger(availableNow=True).queryName(name).start()
-    )
-    started.awaitTermination()
-    return spark.read.parquet(sink)
+    return judged_by_stream(spark, d).select("_row_id", "predicted", "status")
 
 
 @query("stream_verdict_counts", f"{BASE} select status, count(*) as cnt from v group by 1")
 def _(spark, d):
-    import uuid
-
-    corpus, outputs = corpus_of(spark, d)
-    path = response_log(spark, outputs)
-    name = f"counts_{uuid.uuid4().hex}"
-    run_stream(stream_counts(stream_verdicts(spark, path, corpus, STATUS_TASK.parse)), "complete", f"{path}-state", name)
-    return materialize(spark.table(name))
+    return verdict_totals(judged_by_stream(spark, d))
 
 
+@query("log_verdicts", f"{BASE} select _row_id, predicted, status from v")
+def _(spark, d):
+    corpus, path = rerun_log(spark, d)
+    outputs = read_outputs(spark, path)
+    return V.verdict(V.split_responses(outputs).join(corpus, "_row_id"), STATUS_TASK.parse).select("_row_id", "predicted", "status")

@@ -143,9 +143,6 @@ def _(spark, d):
     return found(neighbors(train, train, SPECS["doc_quality"], 6, balanced=True, exclude_self=True))
 
 
-LABEL_SPLIT = """case when (select count(*) from lab l where l.qid = pairs.qid) = 2
-    then y = (select max(l.y) from lab l where l.qid = pairs.qid)
-    else y = (select l.y from lab l where l.qid = pairs.qid order by l.cnt desc, l.y limit 1) end"""
 LABEL_SPLIT_SQL = two_class_sql(6, "y = w").replace("from pairs)", "from pairs join w using (qid))", 1)
 
 
@@ -179,9 +176,6 @@ def _(spark, d):
     return cases.select("query_id", "depth", F.size("cases").cast("bigint").alias("cases"))
 
 
-CATEGORY_SPEC = TableSpec("orders_cat", "status", "multiclass", ("priority", "yr", "status2"), ())
-
-
 @query("knn_no_numbers", f"""{train_sql('orders_status', 'status')},
     v as (select _row_id, {cat_sql('priority')} as c0, yr as c1 from train), g as (select c0, c1, count(*) as n from v group by 1, 2),
     g1 as (select c0, count(*) as n from v group by 1),
@@ -214,7 +208,15 @@ def _(spark, d):
     return found(neighbors(df, df, spec, 16, balanced=True, exclude_self=True))
 
 
-@query("knn_random")
+@query("knn_random", f"""{train_sql('orders_status', 'status')},
+    r as (select _row_id as tid, row_number() over (order by md5('42|random|' || cast(_row_id as varchar)), _row_id) - 1 as pos from train),
+    size as (select count(*) as n from train),
+    stride as (select min(s) as step from (select n, unnest(range(greatest(1, floor(n * 0.618::double))::bigint, 2 * n + 2)) as s from size)
+        where gcd(s, n) = 1),
+    walk as (select b._row_id as qid, t.i, (('0x' || substr(md5('42|start|' || cast(b._row_id as varchar)), 1, 12))::bigint % n + t.i * step) % n as pos
+        from base b, size, stride, range(0, 17) t(i)),
+    picked as (select qid, tid, row_number() over (partition by qid order by i) as rank from walk join r using (pos) where tid <> qid)
+    select qid as query_id, tid as train_id, 1.0::double as similarity, rank from picked where rank <= 16""")
 def _(spark, d):
     df = base(spark, d, "orders_status").select("_row_id", "status")
     return random_neighbors(df, train_of(df, "status"), 16, exclude_self=True)

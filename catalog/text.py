@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import SPECS, base, base_sql, cat_sql, query, splits_of, table, train_of, train_sql
-from catalog.retrieval import many_class_sql, pairs_sql, vectors_sql
+from catalog.retrieval import many_class_sql, pairs_sql, two_class_sql, vectors_sql
 from corpusforge.functions import responses as R
 from corpusforge.functions.numbers import fmt_fixed, fmt_thousands
 from corpusforge.operators import render as T
@@ -31,6 +31,14 @@ STATUS_TASK = multiclass_task(
     lambda label: F.concat(F.lit("The order status is: "), label, F.lit(".")),
     {"zeroshot": "You are an order clerk. ", "finetune": "Explain the given status. ", "reasoning": "Reason. ", "normal_finetune": "Why? "},
 )
+SEGMENT_LABELS = ["automobile", "building", "furniture", "household", "machinery"]
+SEGMENT_TASK = multiclass_task(
+    SEGMENT_LABELS,
+    lambda v: R.normalize_class(v, SEGMENT_LABELS),
+    JOB_TOKEN,
+    lambda label: F.concat(F.lit("The segment is: "), label, F.lit(".")),
+    {"zeroshot": "You are an order clerk. "},
+)
 PRICE_TASK = numeric_task(
     2, lambda y: F.concat(F.lit("The price is $"), fmt_thousands(y), F.lit(".")), {"zeroshot": "You price parts. "}
 )
@@ -250,20 +258,84 @@ def _(spark, d):
     select b._row_id, s.split, b._row_id as pos,
     'You are an order clerk. You are also provided with dataset statistics to assist your reasoning.' as instruction,
     k.block || chr(10) || chr(10) || '--- Sample Features ---' || chr(10) || 'acctbal is ' || cast(b.acctbal as varchar) || '. nation is ' || b.nation
-    as input, 'p' as output from base b join splits s on s._row_id = b._row_id join blocks k on k._row_id = b._row_id""")
+    as input, lower(b.segment) as output from base b join splits s on s._row_id = b._row_id join blocks k on k._row_id = b._row_id""")
 def _(spark, d):
     table_, spec = project(base(spark, d, "customer_segment"), SPECS["customer_segment"]), SPECS["customer_segment"]
-    return build_corpus(table_, splits_of(table_, "segment"), spec, STATUS_TASK, CorpusSpec(with_stats=True))
+    return build_corpus(table_, splits_of(table_, "segment"), spec, SEGMENT_TASK, CorpusSpec(with_stats=True))
+
+
+def top_sql(name: str, source: str, group: str, value: str) -> str:
+    """CTEs ``{name}v(group, v, cnt, rnk)`` and ``{name}t(group, x)``: counts and the five most frequent values."""
+    return f"""{name}v as (select {group} as g, {value} as v, count(*) as cnt, row_number() over (partition by {group}
+        order by count(*) desc, min(_row_id)) as rnk from {source} group by 1, 2),
+    {name}t as (select {name}v.g, string_agg(v || '(' || {PCT.format(f'{name}v.cnt / dist.cnt')} || ')', ', ' order by rnk)
+        filter (where rnk <= 5) as x from {name}v join dist on dist.g = {name}v.g group by 1)"""
+
 
+def own_sql(column: str, name: str, value: str) -> str:
+    """Lines of a categorical column: its frequent values, and how common the row's own is."""
+    return f"""'    {column}: ' || {name}t.x || chr(10) || '    current_sample=' || {value} || '(' ||
+        {PCT.format(f'coalesce({name}v.cnt, 0) / dist.cnt')} || ')'"""
 
-@query("corpus_full")
+
+BOTH = " You are also provided with dataset statistics and similar historical cases to assist your reasoning."
+SAMPLE_TITLE = "'--- Current Sample Features ---' || chr(10) || "
+GAP = " || chr(10) || chr(10) || "
+
+
+@query("corpus_full", f"""{CASES}, n as (select count(*) as n from train),
+    tr as (select *, {cat_sql('priority')} as pr from train), bs as (select *, {cat_sql('priority')} as pr from base),
+    dist as (select status as g, count(*) as cnt, min(_row_id) as f, {numbers_text('price', '      ')} as num1,
+        {numbers_text('cust', '      ')} as num2 from train group by 1),
+    {top_sql('p', 'tr', 'status', 'pr')}, {top_sql('y', 'tr', 'status', 'yr')},
+    h as (select string_agg('  ' || g || ': ' || cnt || ' (' || {PCT.format('cnt / n')} || ')', chr(10) order by cnt desc, f) as x
+          from dist, n),
+    parts as (select bs._row_id, string_agg(chr(10) || '[status = ' || dist.g || '] (n=' || dist.cnt || ', ' ||
+        {PCT.format('dist.cnt / n.n')} || '):' || chr(10) || '  Numerical features:' || chr(10) || '    price:' || chr(10) || num1 ||
+        chr(10) || '    cust:' || chr(10) || num2 || chr(10) || '  Categorical features (top 5):' || chr(10) ||
+        {own_sql('priority', 'p', 'bs.pr')} || chr(10) || {own_sql('yr', 'y', 'bs.yr')}, chr(10) order by dist.f) as x
+        from bs cross join dist join pt on pt.g = dist.g join yt on yt.g = dist.g
+        left join pv on pv.g = dist.g and pv.v = bs.pr left join yv on yv.g = dist.g and yv.v = bs.yr, n group by 1)
+    select b._row_id, s.split, b._row_id as pos, 'You are an order clerk.{BOTH}' as instruction,
+    '=== Dataset Statistics (from training set, per-class) ===' || chr(10) || 'Total training samples: ' || n.n || chr(10) ||
+    chr(10) || 'Target distribution (status):' || chr(10) || h.x || chr(10) || chr(10) || '--- Statistics by Target Class ---' ||
+    chr(10) || parts.x{GAP}{SAMPLE_TITLE}{ORDER_TEXT}{GAP}c.cases as input, lower(b.status) as output
+    from base b join splits s on s._row_id = b._row_id join parts on parts._row_id = b._row_id
+    join cases c on c.query_id = b._row_id, n, h""")
 def _(spark, d):
     table_, spec = project(base(spark, d, "orders_status"), SPECS["orders_status"]), SPECS["orders_status"]
     options = CorpusSpec(with_stats=True, per_group=True, with_cases=True, balanced=True, cases_after_query=True)
     return build_corpus(table_, splits_of(table_, "status"), spec, STATUS_TASK, options)
 
 
-@query("corpus_regression")
+PART_TEXT = "'size is ' || cast(size as varchar) || '. type is ' || type || '. brand is ' || brand"
+PART_CASES = f"""{train_sql('part_price', 'type')}, {vectors_sql('train', 'train', ['size'], ['type', 'brand'], 'price')},
+    {vectors_sql('base', 'train', ['size'], ['type', 'brand'], 'price')}, {pairs_sql('basev', 'trainv', 1, 2, 5)},
+    knn as (with {two_class_sql(5, 'y > median(y) over (partition by qid)')}),
+    txt as (select _row_id as tid, {PART_TEXT} as features, 'The price is $' || format('{{:,}}', round_even(price, 0)::bigint) || '.' as truth
+        from train),
+    cases as (select query_id, '=== Similar Historical Cases ===' || chr(10) || string_agg('Example ' || rank || ' (similarity: ' ||
+       printf('%.3f', sim) || '):' || chr(10) || '  Features: ' || features || chr(10) || '  Ground truth: ' || truth, chr(10) order by rank) as cases
+       from (select knn.*, p.sim from knn join pairs p on p.qid = knn.query_id and p.tid = knn.train_id) k
+       join txt on txt.tid = k.train_id group by 1)"""
+
+
+@query("corpus_regression", f"""{PART_CASES}, e as (select quantile_cont(price, [0.0, 0.25, 0.5, 0.75, 1.0]) as q from train),
+    tr as (select train.*, 1 + (price > q[2])::int + (price > q[3])::int + (price > q[4])::int as bin from train, e),
+    n as (select count(*) as n from tr), dist as (select bin as g, count(*) as cnt, {numbers_text('size', '      ')} as num from tr group by 1),
+    {top_sql('t', 'tr', 'bin', 'type')}, {top_sql('b', 'tr', 'bin', 'brand')},
+    parts as (select r._row_id, string_agg(chr(10) || 'Q' || dist.g || ' (' || (dist.g - 1) * 25 || '%-' || dist.g * 25 || '%): price in (' ||
+       printf('%.1f', q[dist.g]) || ', ' || printf('%.1f', q[dist.g + 1]) || '] (n=' || dist.cnt || ', ' || {PCT.format('dist.cnt / n.n')} || ')' ||
+       chr(10) || '  Numerical features:' || chr(10) || '    size:' || chr(10) || dist.num || chr(10) || '  Categorical features (top 5):' || chr(10) ||
+       {own_sql('type', 't', 'r.type')} || chr(10) || {own_sql('brand', 'b', 'r.brand')}, chr(10) order by dist.g) as x
+       from base r cross join dist join tt on tt.g = dist.g join bt on bt.g = dist.g left join tv on tv.g = dist.g and tv.v = r.type
+       left join bv on bv.g = dist.g and bv.v = r.brand, n, e group by 1)
+    select b._row_id, s.split, b._row_id as pos, 'You price parts.{BOTH}' as instruction,
+    '=== Dataset Statistics (from training set, per-bin) ===' || chr(10) || 'Total training samples: ' || n.n || chr(10) || chr(10) ||
+    '--- Statistics by price Percentile Bin (p0=' || printf('%.2f', q[1]) || ', p25=' || printf('%.2f', q[2]) || ', p50=' || printf('%.2f', q[3]) ||
+    ', p75=' || printf('%.2f', q[4]) || ', p100=' || printf('%.2f', q[5]) || ') ---' || chr(10) || parts.x{GAP}c.cases{GAP}{SAMPLE_TITLE}
+    {PART_TEXT} as input, printf('%.2f', price) as output from base b join splits s on s._row_id = b._row_id
+    join parts on parts._row_id = b._row_id join cases c on c.query_id = b._row_id, n, e""")
 def _(spark, d):
     table_, spec = project(base(spark, d, "part_price"), SPECS["part_price"]), SPECS["part_price"]
     options = CorpusSpec(with_stats=True, per_group=True, with_cases=True, balanced=True, n_cases=5)
@@ -280,9 +352,12 @@ PROMPT = f"""case o_orderkey % 4 when 0 then 'Stats' || {NL} || {NL} || '--- Cur
 PROMPT_SPARK = PROMPT.replace("chr(10)", "'\\n'").replace("|| o_custkey", "|| cast(o_custkey as string)")
 
 
-@query("append_label", f"""select o_orderkey, case when p = '' then '{LINE}' || o_orderstatus || '.' when p like '%{LINE}%' then p
+APPENDED = f"""select o_orderkey, case when p = '' then '{LINE}' || o_orderstatus || '.' when p like '%{LINE}%' then p
     when p like '%' || chr(10) then p || '{LINE}' || o_orderstatus || '.' else p || chr(10) || chr(10) || '{LINE}' || o_orderstatus || '.' end as text
-    from (select *, {PROMPT} as p from orders)""")
+    from (select *, {PROMPT} as p from orders)"""
+
+
+@query("append_label", APPENDED)
 def _(spark, d):
     o = table(spark, d, "orders")
     return o.select("o_orderkey", R.append_label(F.expr(PROMPT_SPARK), F.col("o_orderstatus")).alias("text"))
@@ -383,13 +458,22 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", R.parse_numeric(F.expr(text)).alias("x"))
 
 
-@query("chat_messages")
+@query("chat_messages", f"""select o_orderkey as _row_id, 2 as n, 'system' as first_role, 'Explain.' as first, 'user' as second_role,
+    text as second from ({APPENDED})""")
 def _(spark, d):
     o = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("_row_id"), F.lit("Explain.").alias("instruction"), F.expr(PROMPT_SPARK).alias("input"),
         F.col("o_orderstatus").alias("output"),
     )
-    return to_messages(o)
+    said_, first, second = F.col("messages"), F.get("messages", F.lit(0)), F.get("messages", F.lit(1))
+    return to_messages(o).select(
+        "_row_id",
+        F.size(said_).alias("n"),
+        first["role"].alias("first_role"),
+        first["content"].alias("first"),
+        second["role"].alias("second_role"),
+        second["content"].alias("second"),
+    )
 
 
 @query("render_similarity_format", "select o_orderkey, '(similarity: ' || printf('%.3f', o_custkey / 1500.0) || '):' as text from orders")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -62,7 +63,7 @@ def main(argv: list[str]) -> int:
         folder = argv[at + 1]
         del argv[at : at + 2]
     spark = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(os.environ.get("VERIFY_MASTER", "local[8]"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")

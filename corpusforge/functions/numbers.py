@@ -1,43 +1,31 @@
-"""Number formatting and number tests as column expressions (nothing leaves the JVM)."""
+"""Number text and number tests.
+
+Text of doubles is exact on their binary value, as C's printf and Python print it. The JVM has no such
+formatter, and spelling one out in column expressions makes code too large to compile; so these texts
+come from one vectorised Arrow function per row batch. Everything else here stays in the JVM.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TWO_62 = 2**62
-_BIGINT_SAFE = 9.0e18
+
+def _formatter(pattern: str, null: str | None):
+    """Arrow function from doubles to text; a missing number reads as ``null``, like one that is not a number."""
+
+    def text(x: pa.Array) -> pa.Array:
+        show = pattern.format
+        nan = null if null is not None else "nan"
+        return pa.array([null if v is None else nan if v != v else show(v) for v in x.to_pylist()], pa.string())
+
+    return F.arrow_udf(text, "string")
 
 
 def fmt_fixed(x: Column, digits: int, null: str = "nan") -> Column:
-    """Fixed-point text, rounded half-even on the exact binary value.
-
-    ``format_string('%.2f')`` rounds the shortest decimal form half-up, so 0.125 and 1.015 come out
-    differently from C's printf. Here the fraction is scaled to a 62-bit integer (exact) and rounded
-    with integer arithmetic.
-    """
-    x = x.cast("double")
-    ax = F.abs(x)
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    if digits == 0:
-        body = _whole_number(ax).cast("string")
-        return F.when(x.isNull() | F.isnan(x), F.lit(null)).otherwise(F.concat(sign, body))
-    small = ax < F.lit(_BIGINT_SAFE)
-    whole = F.when(small, F.floor(ax)).otherwise(F.lit(0))
-    part = F.when(small, ax - whole.cast("double")).otherwise(F.lit(0.0))
-    one = F.lit(_TWO_62).cast("decimal(19,0)")
-    fraction = (part * F.lit(float(_TWO_62))).cast("bigint").cast("decimal(19,0)")
-    scaled = fraction * F.lit(10**digits).cast(f"decimal({digits + 1},0)")
-    rest = scaled % one
-    q = ((scaled - rest) / one).cast("bigint")
-    twice = rest * F.lit(2).cast("decimal(1,0)")
-    q = q + ((twice > one) | ((twice == one) & (q % 2 == 1))).cast("bigint")
-    carry = q == 10**digits
-    whole = F.when(small, (whole + carry.cast("bigint")).cast("string")).otherwise(
-        ax.try_cast("decimal(38,0)").cast("string")
-    )
-    tail = F.lpad(F.when(carry, F.lit(0)).otherwise(q).cast("string"), digits, "0")
-    return F.when(x.isNull() | F.isnan(x), F.lit(null)).otherwise(F.concat(sign, whole, F.lit("."), tail))
+    """Fixed-point text, rounded half-even on the exact binary value."""
+    return _formatter(f"{{:.{digits}f}}", null)(x.cast("double"))
 
 
 def fmt_pct(x: Column, digits: int = 1) -> Column:
@@ -48,59 +36,17 @@ def fmt_pct(x: Column, digits: int = 1) -> Column:
 def percent_label(x: Column) -> Column:
     """Whole percentages without decimals, others with one."""
     near = F.abs(x - F.bround(x, 0)) <= 1e-8 + 1e-5 * F.abs(F.bround(x, 0))
-    return F.when(near, F.concat(F.bround(x, 0).cast("bigint").cast("string"), F.lit("%"))).otherwise(
-        F.concat(fmt_fixed(x, 1), F.lit("%"))
-    )
+    return F.concat(F.when(near, fmt_fixed(x, 0)).otherwise(fmt_fixed(x, 1)), F.lit("%"))
 
 
 def fmt_thousands(x: Column) -> Column:
-    """``1234.5`` -> ``1,234`` (half-even)."""
-    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, F.format_number(_whole_number(F.abs(x.cast("double"))), 0))
-
-
-def _whole_number(x: Column) -> Column:
-    """Nearest whole number, ties to even, as an exact decimal."""
-    exact = F.when(F.abs(x) < F.lit(2.0**52), F.bround(x, 0)).otherwise(x)
-    return F.when(F.abs(x) < F.lit(_BIGINT_SAFE), exact.try_cast("bigint").cast("decimal(38,0)")).otherwise(
-        exact.try_cast("decimal(38,0)")
-    )
+    """``1234.5`` -> ``1,234`` (half-even); NULL stays NULL."""
+    return _formatter("{:,.0f}", None)(x.cast("double"))
 
 
 def py_str(x: Column) -> Column:
-    """Shortest decimal text of a double; an exponent only below 1e-4 or from 1e16 on.
-
-    The JVM sometimes prints 17 digits where 16 identify the number; those are shortened first.
-    """
-    plain_digits = F.regexp_replace(F.regexp_replace(x.cast("string"), r"E.*$", ""), r"^[-0.]+|[.]", "")
-    shorter = F.upper(F.format_string("%.15e", x))
-    s = F.when((F.length(plain_digits) >= 17) & (shorter.try_cast("double") == x), shorter).otherwise(x.cast("string"))
-    mantissa = F.regexp_replace(F.regexp_extract(s, r"^-?([0-9.]+)E", 1), r"\.?0+$", "")
-    power = F.regexp_extract(s, r"E[+]?(-?[0-9]+)$", 1).try_cast("int")
-    digits = F.regexp_replace(mantissa, r"\.", "")
-    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    left = F.rpad(digits, F.greatest(power + 1, F.length(digits)), "0")
-    plain = F.concat(
-        sign,
-        left.substr(F.lit(1), power + 1),
-        F.lit("."),
-        F.when(F.length(digits) > power + 1, digits.substr(power + 2, F.length(digits))).otherwise("0"),
-    )
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    exp_text = F.concat(
-        sign,
-        mantissa,
-        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), "0"),
-    )
-    raw = x.cast("string")
-    return (
-        F.when(~raw.contains("E") & (F.length(raw) < 17), F.when(F.isnan(x), F.lit("nan")).otherwise(raw))
-        .when(~s.contains("E"), s)
-        .when((power >= 0) & (power < 16), plain)
-        .when((power < 0) & (power >= -4), small)
-        .otherwise(exp_text)
-    )
+    """Shortest decimal text of a double; an exponent only below 1e-4 or from 1e16 on. NULL stays NULL."""
+    return _formatter("{!r}", None)(x.cast("double"))
 
 
 def parse_number(s: Column) -> Column:

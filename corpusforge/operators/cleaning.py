@@ -54,8 +54,13 @@ def keep_labels(df: DataFrame, col: str, allowed=READMISSION_LABELS) -> DataFram
 
 
 def exclude_codes(df: DataFrame, col: str, codes=DEATH_OR_HOSPICE_CODES) -> DataFrame:
-    """Drop listed codes; rows without a code stay."""
-    return df.filter(~F.coalesce(F.col(col).isin(*codes), F.lit(False)))
+    """Drop listed codes; rows without a code, or with one that is not a number, stay."""
+    return df.filter(~F.coalesce(code_number(F.col(col)).isin(*codes), F.lit(False)))
+
+
+def code_number(col: Column) -> Column:
+    """A code as a whole number; ``11.0`` is 11, and text that is no number is NULL."""
+    return F.coalesce(col.cast("string").try_cast("bigint"), col.cast("string").try_cast("double").try_cast("bigint"))
 
 
 def codes_by_keyword(dim: DataFrame, code: str, description: str, words=DEATH_OR_HOSPICE_WORDS) -> DataFrame:
@@ -63,19 +68,21 @@ def codes_by_keyword(dim: DataFrame, code: str, description: str, words=DEATH_OR
     hit = F.lit(False)
     for word in words:
         hit = hit | text.contains(word)
-    return dim.filter(hit & F.col(code).isNotNull()).select(F.col(code).cast("bigint").alias(code)).distinct()
+    return dim.filter(hit & F.col(code).isNotNull()).select(code_number(F.col(code)).alias(code)).filter(F.col(code).isNotNull()).distinct()
 
 
-def exclude_by_keyword(df: DataFrame, col: str, dim: DataFrame, code: str, description: str) -> DataFrame:
+def exclude_by_keyword(
+    df: DataFrame, col: str, dim: DataFrame, code: str, description: str, words=DEATH_OR_HOSPICE_WORDS
+) -> DataFrame:
     """Drop rows whose code the dimension describes by one of the keywords.
 
     Without any such code the default list applies.
     """
-    codes = codes_by_keyword(dim, code, description)
+    codes = codes_by_keyword(dim, code, description, words)
     if codes.isEmpty():
         return exclude_codes(df, col)
     bad = codes.select(F.col(code).alias("_bad"))
-    return df.join(bad, df[col].cast("bigint") == F.col("_bad"), "left_anti")
+    return df.join(bad, code_number(df[col]) == F.col("_bad"), "left_anti")
 
 
 def drop_if_present(df: DataFrame, cols) -> DataFrame:

@@ -18,9 +18,16 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 
 
 def with_split(df: DataFrame, splits: DataFrame, which: str | None = None, key: str = "_row_id") -> DataFrame:
-    """Rows of one split (or of all splits when ``which`` is None), as an equi-join on the row id."""
+    """Rows of one split (or of all splits when ``which`` is None), as an equi-join on the row id.
+
+    A split that is not in the table is an error.
+    """
     if which is not None:
-        splits = splits.filter(F.col("split") == which)
+        chosen = splits.filter(F.col("split") == which)
+        if chosen.isEmpty():
+            there = sorted(r["split"] for r in splits.select("split").distinct().limit(20).collect() if r["split"])
+            raise ValueError(f"no split {which!r}; the table has {there}")
+        splits = chosen
     return df.join(splits.select(key, "split"), key)
 
 
@@ -47,11 +54,16 @@ def minus(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return a.join(b.select(*keys), keys, "left_anti")
 
 
+def _first_in(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """One row per key. The rank filter runs before the shuffle as well, so a task sends one row per key."""
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.filter("_rank = 1").select(*rows.columns)
+
+
 def latest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """Last version of every key; partial aggregation keeps one row per key before the shuffle."""
+    """Last version of every key; of equal versions, the one with the largest values."""
     rest = [c for c in rows.columns if c not in keys + by]
-    best = F.max(F.struct(*by, *rest)).alias("_best")
-    return rows.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*rows.columns)
+    return _first_in(rows, keys, [F.col(c).desc_nulls_last() for c in by + rest])
 
 
 def overlay_latest(first: DataFrame, reruns: DataFrame, key: str = "_row_id", attempt: str = "attempt") -> DataFrame:
@@ -60,10 +72,17 @@ def overlay_latest(first: DataFrame, reruns: DataFrame, key: str = "_row_id", at
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row of every key in the given order, as a partially aggregated minimum (no sort)."""
-    rest = [c for c in df.columns if c not in keys + order]
-    first = F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
+    """First row of every key in the given order; rows without an order value come last.
+
+    Text that holds a number is ordered as the number.
+    """
+    kinds = dict(df.dtypes)
+    by = []
+    for c in order:
+        if kinds[c] == "string":
+            by.append(F.col(c).try_cast("decimal(38,6)").asc_nulls_last())
+        by.append(F.col(c).asc_nulls_last())
+    return _first_in(df, keys, by)
 
 
 def attach_block(rows: DataFrame, block: DataFrame) -> DataFrame:

@@ -1,14 +1,15 @@
 """Exact linear-interpolation quantiles without sorting or collecting a group.
 
 A sketch brackets every wanted rank, one counting pass locates it, and only values inside the narrow
-brackets are sorted. Copies of a value are one row from the first aggregation on.
+brackets are sorted, in ranges of bounded size. Copies of a value are one row from the first aggregation on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusforge.operators.ranking import running_in_ranges
 from corpusforge.session import materialize
 
 ACCURACY = 10_000
@@ -45,9 +46,8 @@ def order_values(
         .groupBy(*by, "n", zone.alias("_zone"), F.when(in_band, x).alias("_v"))
         .agg(F.count(F.lit(1)).alias("_cnt"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     )
-    order = Window.partitionBy(*by).orderBy("_zone", "_v")
-    upto = F.sum("_cnt").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    entries = entries.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_cnt"))
+    entries = running_in_ranges(entries, by, [F.col("_zone"), F.col("_v")], F.col("_cnt"), "_upto")
+    entries = entries.withColumn("_from", F.col("_upto") - F.col("_cnt"))
 
     def at(rank: Column) -> Column:
         here = (F.col("_from") <= rank) & (rank < F.col("_upto"))

@@ -1,29 +1,36 @@
 """Seeded orders: exact ranks and exact cuts in hash order, spread over many tasks.
 
 A plain ``row_number`` over a class puts the whole class into one task. Here rows are first counted
-per leading hash digits, so every task ranks only one of 4096 even pieces of a class, and cuts
-(quotas) sort only the single piece that the cut falls into.
+per leading hash digits, so every task ranks only one even piece of a class, and cuts (quotas) sort only
+the single piece that the cut falls into. Orders by value are cut into ranges in the same way. The number
+of pieces follows the number of rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge.operators.joins import running
 from corpusforge.session import materialize
 
-BUCKET_DIGITS = 3
+RANGE_ROWS = 500_000
 
 
 def seeded_hash(seed: int, tag: str, key: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), F.col(key).cast("string")).cast("binary"))
 
 
+def hash_digits(rows: int) -> int:
+    """Leading hash digits that deal ``rows`` into about as many pieces as a piece has rows."""
+    return max(2, math.ceil(math.log(max(rows, 2), 16) / 2))
+
+
 def _bucketed(df: DataFrame, by: list[str], seed: int, tag: str, key: str) -> tuple[DataFrame, DataFrame]:
-    hashed = df.withColumn("_h", seeded_hash(seed, tag, key)).withColumn(
-        "_bucket", F.substring("_h", 1, BUCKET_DIGITS)
-    )
+    digits = hash_digits(df.count())
+    hashed = df.withColumn("_h", seeded_hash(seed, tag, key)).withColumn("_bucket", F.substring("_h", 1, digits))
     counts = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
     return hashed, materialize(counts.withColumn("_before", running(by, [F.col("_bucket")], "_cnt")))
 
@@ -69,31 +76,33 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
-def dense_positions(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
-    """0-based position of every row in key order.
+def in_ranges(df: DataFrame, by: list[str], order: list[Column], rows: int = RANGE_ROWS) -> DataFrame:
+    """Store ``df`` with the number ``_piece`` of the range of (``by``, ``order``) that a row lies in."""
+    stored = materialize(df)
+    pieces = -(-stored.count() // rows)
+    if pieces <= 1:
+        return stored.withColumn("_piece", F.lit(0))
+    ranges = stored.repartitionByRange(pieces, *by, *order)
+    return materialize(ranges.withColumn("_piece", F.spark_partition_id()))
 
-    Keys are cut into ranges by sketched percentiles; ranges are counted, and rows are numbered
-    inside their range only.
-    """
-    cuts = df.agg(F.percentile_approx(key, [i / 256 for i in range(1, 256)], 10_000).alias("_e")).first()["_e"] or []
-    cuts = sorted(set(cuts))
-    piece = F.lit(0)
-    if cuts:
-        piece = _search(F.col(key), cuts, 0, len(cuts))
-    ranged = df.withColumn("_piece", piece)
-    counts = ranged.groupBy("_piece").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.select("_piece", running([], [F.col("_piece")], "_cnt").alias("_before"))
-    within = Window.partitionBy("_piece").orderBy(key)
-    return (
-        ranged.join(F.broadcast(offsets), "_piece")
-        .withColumn(name, (F.col("_before") + F.row_number().over(within) - 1).cast("bigint"))
-        .drop("_piece", "_before")
-    )
 
+def running_in_ranges(
+    df: DataFrame, by: list[str], order: list[Column], value: Column, name: str, rows: int = RANGE_ROWS
+) -> DataFrame:
+    """Add the sum of ``value`` up to and with each row, per group in the given total order.
 
-def _search(x: Column, cuts: list, low: int, high: int) -> Column:
-    """Number of cuts below ``x``, as a balanced decision tree of comparisons."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(x > F.lit(cuts[mid]), _search(x, cuts, mid + 1, high)).otherwise(_search(x, cuts, low, mid))
+    Ranges are summed first, so a task orders one range only; a group may be larger than any task.
+    """
+    ranged = in_ranges(df.withColumn("_add", value), by, order, rows)
+    sums = ranged.groupBy(*by, "_piece").agg(F.sum("_add").alias("_sum"))
+    before = sums.select(*by, "_piece", running(by, [F.col("_piece")], "_sum").alias("_before"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*by, "_piece"]]
+    joined = ranged.alias("r").join(before.alias("s"), _all(same)).select("r.*", "s._before")
+    within = Window.partitionBy(*by, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn(name, F.col("_before") + F.sum("_add").over(within)).drop("_piece", "_add", "_before")
+
+
+def dense_positions(df: DataFrame, key: str, name: str = "pos", rows: int = RANGE_ROWS) -> DataFrame:
+    """0-based position of every row in key order."""
+    placed = running_in_ranges(df, [], [F.col(key)], F.lit(1), name, rows)
+    return placed.withColumn(name, (F.col(name) - 1).cast("bigint"))

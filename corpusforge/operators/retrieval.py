@@ -9,10 +9,13 @@ Shape of the job
    picked, so further copies are pruned before the search shuffle. Copies cost nothing, however many.
 3. Groups above ``CELL_ROWS`` are tiled: each pass cuts every big cell into slices of equal row count
    along the next coordinate, until cells are small. A point first searches its home cell, which
-   bounds its n-th similarity; then it visits only the cells that its ball can reach. The result is
-   exact and no group is ever compared all against all.
-4. Cells (and chunks of points that share a cell) are packed into even tasks; a task multiplies
-   blocks with numpy and emits at most n + 1 candidates per point and class.
+   bounds its n-th similarity; then it visits only the cells that its ball can reach. In a few
+   dimensions these are few cells. In many dimensions single coordinates tell vectors apart badly, balls
+   reach most cells, and the exact search of a group is then near to comparing all of its points with
+   all of its training rows, cell by cell.
+4. Cells (and chunks of points that share a cell) are packed into tasks that are even in points and
+   training rows together; a task multiplies blocks with numpy and emits at most n + 1 candidates per
+   point and class.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ CELL_ROWS = 8_192
 POINT_CHUNK = 8_192
 SLICES = 32
 SCORE_BLOCK = 2_000_000
+PACK_ROWS = 65_536
 
 
 # ---------------------------------------------------------------- vectors and prefixes
@@ -208,20 +212,24 @@ def _label_splits(serving: DataFrame, exclude_self: bool) -> DataFrame:
     With two labels left it is the greater one, otherwise the most frequent one (ties: smaller label).
     """
     counts = serving.groupBy("group", "_t").agg(F.count(F.lit(1)).alias("cnt"))
+    # leaving out one row changes one count by one, so the three most frequent labels settle it
+    order = Window.partitionBy("group").orderBy(F.col("cnt").desc(), "_t")
+    leading = counts.withColumn("_r", F.row_number().over(order)).filter("_r <= 3")
+    per = counts.groupBy("group").agg(F.count(F.lit(1)).alias("_k")).join(
+        leading.groupBy("group").agg(F.collect_list(F.struct("_t", "cnt")).alias("_top")), "group"
+    )
+    cases = per.select("group", F.lit("").alias("_own"), F.lit(0).cast("bigint").alias("_own_cnt"), "_k", "_top")
     if exclude_self:
-        owners = counts.select("group", F.col("_t").alias("_own"))
-        owners = owners.unionByName(owners.select("group", F.lit("").alias("_own")).distinct())
-        counts = counts.join(owners, "group")
-        counts = counts.withColumn("cnt", F.col("cnt") - (F.col("_t") == F.col("_own")).cast("bigint"))
-        counts = counts.filter("cnt > 0")
-    else:
-        counts = counts.withColumn("_own", F.lit(""))
-    per = counts.groupBy("group", "_own").agg(
-        F.count(F.lit(1)).alias("_k"),
-        F.max("_t").alias("_max"),
-        F.min_by("_t", F.struct((-F.col("cnt")).alias("c"), F.col("_t"))).alias("_mode"),
+        owned = counts.select("group", F.col("_t").alias("_own"), F.col("cnt").alias("_own_cnt")).join(per, "group")
+        cases = cases.unionByName(owned)
+    less = F.transform(
+        "_top", lambda e: F.struct((e["cnt"] - (e["_t"] == F.col("_own")).cast("bigint")).alias("c"), e["_t"].alias("t"))
     )
-    return per.select("group", "_own", F.when(F.col("_k") == 2, F.col("_max")).otherwise(F.col("_mode")).alias("split"))
+    left = F.filter(less, lambda e: e["c"] > 0)
+    cases = cases.withColumn("_left", left).withColumn("_k", F.col("_k") - (F.col("_own_cnt") == 1).cast("int"))
+    greatest = F.array_max(F.transform("_left", lambda e: e["t"]))
+    frequent = F.array_min(F.transform("_left", lambda e: F.struct((-e["c"]).alias("c"), e["t"].alias("t"))))["t"]
+    return cases.filter("_k > 0").select("group", "_own", F.when(F.col("_k") == 2, greatest).otherwise(frequent).alias("split"))
 
 
 # ---------------------------------------------------------------- exact search
@@ -361,15 +369,23 @@ def _scorer(dims: int):
     return score
 
 
+def packs_for(loads: DataFrame, least: int) -> int:
+    """Number of tasks for cells with ``_points``, ``_rows`` and ``_chunks``: a chunk of points brings all
+    training rows of its cell along, so both sides count."""
+    both = F.col("_points") + F.col("_chunks") * F.col("_rows")
+    return max(least, math.ceil((loads.agg(F.sum(both).alias("r")).first()["r"] or 0) / PACK_ROWS))
+
+
 def _score(points: DataFrame, train: DataFrame, dims: int) -> DataFrame:
     """Run the scorer over evenly packed cells; crowded cells are served in several chunks of points."""
-    loads = materialize(points.groupBy("cell").agg(F.count(F.lit(1)).alias("_points")))
+    loads = points.groupBy("cell").agg(F.count(F.lit(1)).alias("_points"))
+    served = train.groupBy("cell").agg(F.count(F.lit(1)).alias("_rows"))
     chunks = F.ceil(F.col("_points") / POINT_CHUNK).cast("int")
-    plan = loads.select("cell", chunks.alias("_chunks"))
-    size = loads.agg(F.coalesce(F.sum("_points"), F.lit(0)).alias("p")).first()["p"]
-    packs = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / POINT_CHUNK))
+    loads = materialize(loads.join(served, "cell").withColumn("_chunks", chunks))
+    plan = loads.select("cell", "_chunks")
+    packs = packs_for(loads, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     columns = [f"u{i}" for i in range(dims)]
-    left = lookup_join(points, plan, ["cell"]).withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("_chunks")))
+    left = lookup_join(points, plan, ["cell"], "inner").withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("_chunks")))
     right = train.join(plan, "cell").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks").cast("bigint") - 1))
     )

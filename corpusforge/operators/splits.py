@@ -124,7 +124,10 @@ def resolve_binary(df: DataFrame, label: str) -> DataFrame:
 
 
 def undersample_3to1(df: DataFrame, label: str, n: int, seed: int = SPLIT_SEED, key: str = "_row_id") -> DataFrame:
-    """Three negatives then one positive, over and over, until ``n`` rows or a class runs out."""
+    """Three negatives then one positive, over and over, until ``n`` rows or a class runs out.
+
+    How many of each are taken is known from the class sizes, so rows are cut before they are ranked.
+    """
     chosen = resolve_binary(df, label).first()
     text = F.col(label).cast("string")
     sized = df.agg(
@@ -132,13 +135,20 @@ def undersample_3to1(df: DataFrame, label: str, n: int, seed: int = SPLIT_SEED,
     ).first()
     end_of_negatives = 4 * (sized["neg"] // 3) + sized["neg"] % 3
     stop = min(n, end_of_negatives, 4 * sized["pos"] + 3)
-    j = F.col("_rank") - 1
-    third = F.floor(j / 3)
-    position = F.when(text == chosen["positive"], 4 * j + 3).otherwise(4 * third + j % 3)
-    ranked = hash_ranked(df, [label], seed, "under", key)
-    return (
-        ranked.withColumn("pos", position.cast("bigint")).drop("_rank").filter(F.col("pos") < stop)
+    positives = max(0, -(-(stop - 3) // 4))  # positions 3, 7, 11, ... below the end
+    quotas = df.sparkSession.createDataFrame(
+        [(chosen["negative"], "keep", stop - positives), (chosen["positive"], "keep", positives)],
+        "_label string, cut string, k long",
     )
+    rows = df.filter(text.isin(chosen["negative"], chosen["positive"])).withColumn("_label", text)
+    cuts = materialize(hash_cuts(rows.select(key, "_label"), ["_label"], quotas, seed, "under", key))
+    h = seeded_hash(seed, "under", f"r.{key}")
+    inside = F.struct(h.alias("_h"), F.col(f"r.{key}").alias("_k")) <= F.struct("c._h", "c._k")
+    kept = rows.alias("r").join(cuts.alias("c"), "_label").filter(inside).select("r.*").drop("_label")
+    ranked = hash_ranked(kept, [label], seed, "under", key)
+    j = F.col("_rank") - 1
+    position = F.when(text == chosen["positive"], 4 * j + 3).otherwise(4 * F.floor(j / 3) + j % 3)
+    return ranked.withColumn("pos", position.cast("bigint")).drop("_rank")
 
 
 def limit_rows(df: DataFrame, n: int, key: str = "_row_id") -> DataFrame:

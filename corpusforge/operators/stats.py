@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusforge.functions.numbers import bin_index
 from corpusforge.operators.cleaning import category, number
 from corpusforge.operators.quantiles import bracket_columns, refine, table_quantiles
+from corpusforge.operators.ranking import running_in_ranges
 from corpusforge.session import materialize
 from corpusforge.spec import STAT_VARIANTS, TableSpec
 
@@ -75,18 +76,25 @@ def cat_counts(df: DataFrame, cols, by: list[str] = (), key: str = "_row_id") ->
 def cat_stats(df: DataFrame, cols, top_k: int | None = 5, by: list[str] = (), key: str = "_row_id") -> DataFrame:
     """Top values per column with count, share, rank, and the column's unique and missing counts.
 
-    Shares divide by all rows of the group. Counting comes first, so a frequent value is one row
-    before anything is ranked, and the rank limit is applied before the ranking shuffle.
+    Shares divide by all rows of the group. Counting comes first, once, so a frequent value is one row
+    before anything is ranked. A rank limit is applied before the ranking shuffle; without one, ranks
+    come from counted ranges of the order, because a column may have any number of values.
     """
     by = list(by)
-    counts = cat_counts(df, cols, by, key)
+    return ranked_counts(materialize(cat_counts(df, cols, by, key)), top_k, by)
+
+
+def ranked_counts(counts: DataFrame, top_k: int | None, by: list[str]) -> DataFrame:
+    """:func:`cat_stats` from stored counts."""
     totals = counts.groupBy(*by, "col").agg(
         F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("n_unique"), F.sum("n_missing").alias("n_missing")
     )
-    order = Window.partitionBy(*by, "col").orderBy(F.col("cnt").desc(), "first_row", "value")
-    ranked = counts.drop("n_missing").withColumn("rnk", F.row_number().over(order).cast("bigint"))
-    if top_k is not None:
-        ranked = ranked.filter(F.col("rnk") <= top_k)
+    order, rows = [F.col("cnt").desc(), F.col("first_row"), F.col("value")], counts.drop("n_missing")
+    if top_k is None:
+        ranked = running_in_ranges(rows, [*by, "col"], order, F.lit(1).cast("bigint"), "rnk")
+    else:
+        rank = F.row_number().over(Window.partitionBy(*by, "col").orderBy(*order)).cast("bigint")
+        ranked = rows.withColumn("rnk", rank).filter(F.col("rnk") <= top_k)
     return ranked.join(totals, [*by, "col"]).select(
         *by, "col", "value", "cnt", "total", (F.col("cnt") / F.col("total")).alias("prop"), "rnk", "n_unique", "n_missing"
     )

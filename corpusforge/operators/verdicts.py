@@ -18,6 +18,7 @@ from corpusforge.functions.responses import (
 )
 from corpusforge.operators.joins import latest
 from corpusforge.session import materialize
+from corpusforge.sources.tables import append_outputs, path_exists, read_outputs, resume_outputs
 
 KEPT, EMPTY, UNREADABLE, MISMATCH = "kept", "expected_empty", "predicted_parse_fail", "label_mismatch"
 
@@ -112,6 +113,11 @@ def to_messages(corpus: DataFrame) -> DataFrame:
     return corpus.select("_row_id", F.array(message("system", system), message("user", user)).alias("messages"))
 
 
+def unparsed_verdicts(verdicts: DataFrame) -> DataFrame:
+    """Failures of a prediction run: responses without a readable label, right or wrong."""
+    return verdicts.filter(F.col("predicted").isNull())
+
+
 def generate_until(
     corpus: DataFrame,
     generate,
@@ -121,31 +127,53 @@ def generate_until(
     target_ratio: float = TARGET_RATIO,
     max_rounds: int = MAX_ROUNDS,
     patience: int = PATIENCE,
+    failures=retry_candidates,
+    log: str | None = None,
 ) -> DataFrame:
     """Generate responses, then regenerate those that fail until few fail or progress stalls.
 
     ``generate(batches, temperature)`` maps an iterator of pandas frames with ``_row_id`` and
-    ``messages`` to frames with ``_row_id`` and ``raw``; it runs inside the tasks. Results are
-    written every round, so a lost executor never asks for the same response twice.
+    ``messages`` to frames with ``_row_id`` and ``raw``; it runs inside the tasks. ``failures`` picks the
+    rows to ask again from a table of verdicts: those that miss their label, or for a prediction run
+    :func:`unparsed_verdicts`. Each round judges only its own answers, and is stored before the next.
+
+    With ``log``, answers are appended to that response log round by round, and rows that it already
+    answers are not asked anew when the job starts again. Inside a round, a task that fails is repeated
+    and asks its rows again.
     """
+    spark = corpus.sparkSession
+
+    def ask(rows: DataFrame, heat: float, attempts: DataFrame | None) -> DataFrame:
+        """Answers of ``rows``, stored (in the log too); an attempt is one more than the row's last."""
 
-    def ask(rows: DataFrame, heat: float, attempt: int) -> DataFrame:
         def run(batches):
             yield from generate(batches, heat)
 
         got = to_messages(rows).mapInPandas(run, "_row_id bigint, raw string")
-        answered = rows.select("_row_id").join(latest(got.withColumn("_o", F.lit(0)), ["_row_id"], ["_o"]).drop("_o"), "_row_id", "left")
-        return answered.select("_row_id", F.lit(attempt).alias("attempt"), F.coalesce("raw", F.lit("")).alias("raw"))
+        once = latest(got.withColumn("_o", F.lit(0)), ["_row_id"], ["_o"]).drop("_o")
+        answered = rows.select("_row_id").join(once, "_row_id", "left")
+        if attempts is None:
+            numbered = answered.withColumn("attempt", F.lit(0))
+        else:
+            numbered = answered.join(attempts, "_row_id").withColumn("attempt", F.col("attempt") + 1)
+        stored = materialize(numbered.select("_row_id", "attempt", F.coalesce("raw", F.lit("")).alias("raw")))
+        if log:
+            append_outputs(stored, log)
+        return stored
 
     def judge(outputs: DataFrame) -> DataFrame:
-        return verdict(corpus.join(split_responses(outputs), "_row_id"), parse, regression)
+        return materialize(verdict(corpus.join(split_responses(outputs), "_row_id"), parse, regression))
 
     total = corpus.count()
-    outputs = materialize(ask(corpus, temperature, 0))
+    if log and path_exists(spark, log):
+        known = materialize(read_outputs(spark, log))
+        rounds = [judge(known.unionByName(ask(resume_outputs(corpus, known), temperature, None)))]
+    else:
+        rounds = [judge(ask(corpus, temperature, None))]
     least_drop = max(1, math.floor(total * 0.001))
     last, stalls = None, 0
-    for round_no in range(1, max_rounds + 1):
-        again = retry_candidates(judge(outputs))
+    for _ in range(max_rounds):
+        again = materialize(failures(rounds[-1]).select("_row_id", "attempt"))
         failing = again.count()
         if failing == 0 or failing / total <= target_ratio:
             break
@@ -154,7 +182,9 @@ def generate_until(
             if stalls >= patience:
                 break
         rows = corpus.join(again.select("_row_id"), "_row_id", "left_semi")
-        rerun = ask(rows, max(temperature, RETRY_TEMPERATURE), round_no)
-        outputs = materialize(latest(outputs.unionByName(rerun), ["_row_id"], ["attempt"]))
+        rounds.append(judge(ask(rows, max(temperature, RETRY_TEMPERATURE), again)))
         last = failing
-    return judge(outputs)
+    everything = rounds[0]
+    for later in rounds[1:]:
+        everything = everything.unionByName(later)
+    return latest(everything, ["_row_id"], ["attempt"]) if len(rounds) > 1 else everything

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _local_folder: list[str] = []
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,6 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError(f"set {SETTING} to a folder that all executors share")
     if not _local_folder:
         _local_folder.append(tempfile.mkdtemp(prefix="corpusforge-"))
+        atexit.register(shutil.rmtree, _local_folder[0], ignore_errors=True)
     return _local_folder[0]
 
 
@@ -31,5 +35,18 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialize` wrote in this process; results read from them end here.
+
+    Call it when a job's results are stored. Returns how many were deleted.
+    """
+    count = 0
+    while _written:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        count += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    return count

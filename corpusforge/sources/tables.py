@@ -24,39 +24,56 @@ OUTPUT_LOG_SCHEMA = "_row_id bigint, attempt int, raw string"
 def read_table(spark: SparkSession, path: str, spec: TableSpec, fmt: str = "csv") -> DataFrame:
     """A labelled table with declared types; CSV text that means missing becomes NULL.
 
-    Without a key column in the file, dense row ids follow the order of the scan.
+    Without a key column in the files, dense row ids follow the file names and the order in each file.
     """
     if fmt != "csv":
         return _with_ids(spark.read.format(fmt).load(path), spec)
     raw = spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path)
-    raw = raw.select(*[F.when(~F.col(f"`{c}`").isin(*NA_TEXTS), F.col(f"`{c}`")).alias(c) for c in raw.columns])
+    names = raw.columns
+    read = [F.when(~F.col(f"`{c}`").isin(*NA_TEXTS), F.col(f"`{c}`")).alias(c) for c in names]
+    raw = raw.select(*read, *([] if spec.key in names else _place()))
     numbers = set(spec.num_cols or ()) | ({spec.target} if spec.is_regression else set())
     typed = {c: F.col(f"`{c}`").try_cast("double") for c in raw.columns if c in numbers}
     typed |= {spec.key: F.col(spec.key).try_cast("bigint")} if spec.key in raw.columns else {}
     return _with_ids(raw.withColumns(typed) if typed else raw, spec)
 
 
+def _place() -> list:
+    """Where a row was read: file, and the part of the file that was scanned as a whole."""
+    return [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")]
+
+
 def _with_ids(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """Keep the declared key, else number the rows by (file, position within its scan partition)."""
+    """Keep the declared key, else number the rows by (file, place in the file)."""
     if spec.key in df.columns:
         return df
-    return number_rows(df, spec.key)
+    if "_path" not in df.columns:
+        df = df.select("*", *_place())
+    return number_rows(df, spec.key).drop("_path", "_block")
 
 
-def number_rows(df: DataFrame, name: str = "_row_id") -> DataFrame:
-    """Dense 0-based ids in scan order: one count per scan partition, then an offset per partition."""
+def number_rows(df: DataFrame, name: str = "_row_id", per_file: bool = False) -> DataFrame:
+    """Dense 0-based ids in file order, over all files or starting anew in each.
+
+    ``df`` carries ``_path`` and ``_block`` from the scan. Rows of a block stay together in their scan
+    order, whatever other blocks the scan put into the same task; blocks are counted, then offset. The
+    order of blocks is that of path and start, so the ids do not depend on how Spark packs them.
+    """
+    place = ["_path", "_block"]
     tagged = df.withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    sizes = tagged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_cnt"))
-    before = F.sum("_cnt").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
-    joined = tagged.withColumn("_p", part).join(offsets, "_p")
-    local = F.col("_m") - F.shiftleft(F.col("_p"), 33)
-    return joined.withColumn(name, (F.col("_before") + local).cast("bigint")).drop("_m", "_p", "_before")
+    sizes = tagged.groupBy(*place).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_m").alias("_least"))
+    order = Window.partitionBy("_path").orderBy("_block") if per_file else Window.orderBy(*place)
+    before = F.sum("_cnt").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*place, "_least", F.coalesce(before, F.lit(0)).alias("_before"))
+    joined = tagged.join(offsets, place)
+    return joined.withColumn(name, (F.col("_before") + F.col("_m") - F.col("_least")).cast("bigint")).drop(
+        "_m", "_least", "_before"
+    )
 
 
 def read_corpus(spark: SparkSession, path: str | list[str], lines: bool = False, recursive: bool = False) -> DataFrame:
-    """Instruction records from JSON arrays (or JSON lines), with the file name and mtime of each record.
+    """Instruction records from JSON arrays (or JSON lines), with path, name and mtime of the file and the
+    0-based place ``pos`` of the record in it.
 
     Statistics files are skipped; records that are not objects with corpus fields are an error.
     """
@@ -64,9 +81,13 @@ def read_corpus(spark: SparkSession, path: str | list[str], lines: bool = False,
     reader = reader.option("multiLine", not lines).option("recursiveFileLookup", recursive)
     reader = reader.option("pathGlobFilter", "*.json*" if lines else "*.json")
     named = reader.json(path).select(
-        "*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("mtime")
+        "*",
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_modification_time").alias("mtime"),
+        *_place(),
     )
-    return named.filter(~F.col("file").contains(STATS_MARK))
+    kept = named.filter(~F.col("file").contains(STATS_MARK))
+    return number_rows(kept, "pos", per_file=True).withColumnRenamed("_path", "path").drop("_block")
 
 
 def write_corpus(df: DataFrame, path: str, by_split: bool = False) -> None:
@@ -95,12 +116,22 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def log_lines(reader, path: str) -> DataFrame:
+    """Readable lines of a response log, for a batch or a streaming reader; others are dropped."""
+    schema = T.StructType.fromDDL(OUTPUT_LOG_SCHEMA + ", _bad string")
+    log = reader.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
+    return log.filter(F.col("_row_id").isNotNull() & F.col("_bad").isNull()).drop("_bad")
+
+
 def read_outputs(spark: SparkSession, path: str) -> DataFrame:
     """Append-only response log; unreadable lines are dropped, the last attempt per row wins."""
-    schema = T.StructType.fromDDL(OUTPUT_LOG_SCHEMA + ", _bad string")
-    log = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
-    good = log.filter(F.col("_row_id").isNotNull() & F.col("_bad").isNull()).drop("_bad")
-    return latest(good, ["_row_id"], ["attempt"])
+    return latest(log_lines(spark.read, path), ["_row_id"], ["attempt"])
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever store the path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def append_outputs(df: DataFrame, path: str) -> None:
@@ -123,7 +154,7 @@ def shard_keys(files: DataFrame, name: str = "file") -> DataFrame:
 
 
 def latest_part(shards: DataFrame, name: str = "file") -> DataFrame:
-    """Newest file of every part."""
+    """Newest file of every part; ``name`` is the column that tells files apart."""
     keys = ["prefix", "mode", "tail", "part"]
     newest = shards.groupBy(*keys).agg(F.max_by(name, F.struct("mtime", name)).alias(name))
     return newest.select(*keys, name)
@@ -136,20 +167,19 @@ def missing_parts(shards: DataFrame, parts: int) -> DataFrame:
     return wanted.join(shards.select("prefix", "mode", "tail", "part"), ["prefix", "mode", "tail", "part"], "left_anti")
 
 
-def merge_shards(records: DataFrame, parts: int, name: str = "file") -> DataFrame:
+def merge_shards(records: DataFrame, parts: int, name: str = "file", path: str = "path") -> DataFrame:
     """Records of the newest file of parts 1..parts, keyed for the order (part, position).
 
-    ``records`` carries the file name, its ``mtime`` and ``pos``. Missing parts are an error.
+    ``records`` carries the file's name, its full ``path``, its ``mtime`` and ``pos``, as
+    :func:`read_corpus` gives them. Files of one name in different folders are versions of one part.
+    Missing parts are an error.
     """
-    files = materialize(shard_keys(records.select(name, "mtime").distinct(), name))
+    files = materialize(shard_keys(records.select(path, name, "mtime").distinct(), name))
     if files.isEmpty():
         raise ValueError("no shard files found")
     lost = missing_parts(files, parts).take(20)
     if lost:
         raise ValueError(f"missing shard parts: {[(r['prefix'], r['part']) for r in lost]}")
-    chosen = latest_part(files.filter(F.col("part").between(1, parts)), name)
-    return records.join(chosen, name).select(
-        "prefix", "mode", "tail", "part", *[c for c in records.columns if c not in (name, "mtime")]
-    )
-
-
+    chosen = latest_part(files.filter(F.col("part").between(1, parts)), path)
+    rest = [c for c in records.columns if c not in (path, name, "mtime")]
+    return records.join(chosen, path).select("prefix", "mode", "tail", "part", *rest)

@@ -5,24 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusforge.operators.joins import latest
 from corpusforge.operators.verdicts import split_responses, verdict
-from corpusforge.sources.tables import OUTPUT_LOG_SCHEMA
+from corpusforge.sources.tables import log_lines
 
 
 def stream_verdicts(
     spark: SparkSession, path: str, corpus: DataFrame, parse, regression: bool = False, files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Streaming verdicts: new log lines joined to the static corpus on the row id."""
-    reader = spark.readStream.schema(OUTPUT_LOG_SCHEMA)
+    """Streaming verdicts, one per readable log line, joined to the static corpus on the row id.
+
+    Every attempt is judged as it arrives and keeps its number; :func:`current_verdicts` has the last.
+    """
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    responses = split_responses(reader.json(path).filter(F.col("_row_id").isNotNull()))
-    return verdict(responses.join(corpus, "_row_id"), parse, regression)
-
-
-def stream_counts(verdicts: DataFrame) -> DataFrame:
-    """Running totals per status, for a sink in complete mode."""
-    return verdicts.groupBy("status").agg(F.count(F.lit(1)).alias("cnt"))
+    return verdict(split_responses(log_lines(reader, path)).join(corpus, "_row_id"), parse, regression)
 
 
 def write_verdicts(verdicts: DataFrame, path: str, checkpoint: str):
@@ -35,3 +33,13 @@ def write_verdicts(verdicts: DataFrame, path: str, checkpoint: str):
         .trigger(availableNow=True)
         .start()
     )
+
+
+def current_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """Of the verdicts written so far, the one of the last attempt per row, as a batch over the log has it."""
+    return latest(spark.read.parquet(path), ["_row_id"], ["attempt"])
+
+
+def verdict_totals(verdicts: DataFrame) -> DataFrame:
+    """Rows per status."""
+    return verdicts.groupBy("status").agg(F.count(F.lit(1)).alias("cnt"))

@@ -28,6 +28,18 @@ def test_formats_like_python(spark):
             assert pct == f"{v:.1%}"
 
 
+def test_every_digit_count_and_half_way_values(spark):
+    x = F.col("x")
+    halves = [k / 2**j for j in range(1, 16) for k in (1, 3, 5, 7, 9, 11)]
+    decimals = [k / 10**j + 5 / 10 ** (j + 1) for j in range(0, 7) for k in range(0, 12)]
+    edges = [0.00005, 0.00055, -0.0, -0.00004, float("inf"), float("-inf"), 1e38, 1.5e38, 1e23, 1.7e308, 5e-324, 2.0**63]
+    values = halves + decimals + edges + [-v for v in halves + decimals]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    rows = df.select("x", *[fmt_fixed(x, d) for d in range(7)], py_str(x)).collect()
+    for v, *texts, shortest in rows:
+        assert texts == [f"{v:.{d}f}" for d in range(7)] and shortest == repr(v)
+
+
 def test_missing_numbers_and_labels(spark):
     df = spark.createDataFrame([(None, 25.0, True), (float("nan"), 33.333, False)], "x double, p double, b boolean")
     rows = df.select(fmt_fixed(F.col("x"), 2), percent_label(F.col("p")), coerce_01(F.col("b"))).collect()
