@@ -22,8 +22,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by shingles of five words."""
-    found = simhash.components(docs, shingle_words=5)
+    """One document of each group of near-duplicates: shingles of five words, at most 3 of 64 bits differ."""
+    found = simhash.components(docs, reach=3, shingle_words=5)
     return simhash.keep_one(docs, found)
 
 
