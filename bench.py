@@ -16,6 +16,7 @@ HEADLINE = [
     "split_stratified",
     "knn_topn",
     "knn_balanced_multi",
+    "knn_embeddings",
     "render_cases",
     "corpus_full",
     "verdict",

@@ -171,10 +171,11 @@ def merge_shards(records: DataFrame, parts: int, name: str = "file", path: str =
     """Records of the newest file of parts 1..parts, keyed for the order (part, position).
 
     ``records`` carries the file's name, its full ``path``, its ``mtime`` and ``pos``, as
-    :func:`read_corpus` gives them. Files of one name in different folders are versions of one part.
-    Missing parts are an error.
+    :func:`read_corpus` gives them; without a path the name tells files apart. Files of one name in
+    different folders are versions of one part. Missing parts are an error.
     """
-    files = materialize(shard_keys(records.select(path, name, "mtime").distinct(), name))
+    path = path if path in records.columns else name
+    files = materialize(shard_keys(records.select(*dict.fromkeys([path, name]), "mtime").distinct(), name))
     if files.isEmpty():
         raise ValueError("no shard files found")
     lost = missing_parts(files, parts).take(20)
