@@ -159,14 +159,13 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
         .select("_id", "_for", F.col("_text").substr(F.lit(1), F.col("_need")).alias("_head"), fingerprint(F.col("_text")).alias("_print"))
     )
     given = prints.select(F.col("_for").alias("_id"), "_head", F.col("_print").alias("_next_print"))
-    own = prints.select("_id", F.col("_print").alias("fingerprint"))
     edited = F.concat(F.col("_text").substr(F.lit(1), F.char_length("_text") - F.floor(F.char_length("_text") / 4).cast("int")), F.col("_head"))
-    joined = rows.join(given, "_id").join(own, "_id")
-    whole = joined.select(
+    # a text's own fingerprint is taken again: that costs less than to store and shuffle it
+    whole = rows.join(given, "_id").select(
         F.col("_key").alias(key),
         F.char_length("_text").cast("long").alias("n_chars"),
         edited.alias("_edited"),
-        "fingerprint",
+        fingerprint(F.col("_text")).alias("fingerprint"),
         "_next_print",
     ).withColumn("edited_fingerprint", fingerprint(F.col("_edited")))
     return whole.select(
