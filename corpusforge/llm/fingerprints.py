@@ -153,12 +153,12 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = placed.join(following, "_place").select("_id", "_next", "n", F.floor(F.col("n") / 4).cast("int").alias("_cut"))
     links = materialize(links)
     # what the document before needs of this one: its first characters and its fingerprint
-    texts = rows.dropDuplicates(["_id"])
-    prints = materialize(
-        texts.join(links.select(F.col("_next").alias("_id"), F.col("_id").alias("_for"), F.col("_cut").alias("_need")), "_id")
-        .select("_id", "_for", F.col("_text").substr(F.lit(1), F.col("_need")).alias("_head"), fingerprint(F.col("_text")).alias("_print"))
+    # (repeated rows give it once: its few columns are told apart, not the texts)
+    wanted = links.select(F.col("_next").alias("_id"), F.col("_id").alias("_for"), F.col("_cut").alias("_need"))
+    parts = rows.join(wanted, "_id").select(
+        F.col("_for").alias("_id"), F.col("_text").substr(F.lit(1), F.col("_need")).alias("_head"), fingerprint(F.col("_text")).alias("_next_print")
     )
-    given = prints.select(F.col("_for").alias("_id"), "_head", F.col("_print").alias("_next_print"))
+    given = materialize(parts.dropDuplicates(["_id"]))
     edited = F.concat(F.col("_text").substr(F.lit(1), F.char_length("_text") - F.floor(F.char_length("_text") / 4).cast("int")), F.col("_head"))
     # a text's own fingerprint is taken again: that costs less than to store and shuffle it
     whole = rows.join(given, "_id").select(
