@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusforge.llm import lines, mixing, packing, quality, simhash
+from corpusforge.llm import lines, mixing, packing, quality, simhash, similar
 from corpusforge.session import shared_folder
 
 
@@ -22,8 +22,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, at most 3 of 64 bits differ."""
-    found = simhash.components(docs, reach=3, shingle_words=5)
+    """One document of each group of near-duplicates: shingles of five words, Jaccard 0.8 or at most 3 of 64 bits differ."""
+    found = simhash.components(docs, reach=3, shingle_words=similar.SHINGLE_WORDS, more_links=similar.more_links)
     return simhash.keep_one(docs, found)
 
 

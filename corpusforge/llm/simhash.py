@@ -9,7 +9,7 @@ blocks and return a spanning forest, never all pairs; the forests are joined by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,17 +44,33 @@ def simhash(text: bytes, shingle_words: int = 3, seed: int = 42, chunk: int = 1
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 3) -> DataFrame:
-    """``_id, _key, fp`` for every row; ``fp`` is the fingerprint's bits as a signed number. Null is empty."""
+def shingle_set(text: bytes, shingle_words: int, seed: int = 43) -> int:
+    """Hash of the set of shingles that :func:`simhash` takes."""
+    words = text.lower().split()
+    shingles = set(map(b" ".join, zip(*(words[j:] for j in range(shingle_words))))) or {b" ".join(words)}
+    return sum(xxhash.xxh64_intdigest(s, seed) for s in shingles) & ((1 << 64) - 1)
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 3, with_sets: bool = False) -> DataFrame:
+    """``_id, _key, fp`` for every row; ``fp`` is the fingerprint's bits as a signed number. Null is empty.
+
+    ``with_sets`` adds ``shingles``, a hash of the set of shingles.
+    """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_groups(batches):
             bits = np.array([simhash(t or b"", shingle_words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(bits)], names=["_id", "fp"])
+            arrays = [keys, pa.array(bits)]
+            if with_sets:
+                sets = np.array([shingle_set(t or b"", shingle_words) for t in texts], np.uint64)
+                arrays.append(pa.array(sets.view(np.int64)))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
+    names = ["_id", "fp", "shingles"][: 3 if with_sets else 2]
     kind = docs.select(key).schema[0].dataType.simpleString()
     source = docs.select(F.col(key), F.col(text).cast("binary"))
-    return source.mapInArrow(compute, f"_id {kind}, fp long").select("_id", key_column("_id").alias("_key"), "fp")
+    schema = f"_id {kind}, fp long" + (", shingles long" if with_sets else "")
+    return source.mapInArrow(compute, schema).select("_id", key_column("_id").alias("_key"), *names[1:])
 
 
 # --- the tree --------------------------------------------------------------------------------------------
@@ -221,18 +237,24 @@ def components(
     shingle_words: int = 3,
     key: str = "doc_id",
     text: str = "text",
+    more_links: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None,
     **options,
 ) -> DataFrame:
     """``key, fingerprint, component_id`` for every row.
 
     Fingerprints link at ``reach`` or fewer differing bits; ``component_id`` is the smallest key reachable.
+    ``more_links`` (as in ``similar``) adds links that fingerprints do not show.
     Texts without words, null ones too, have fingerprint zero and link like any other. A null key counts
     as the smallest (and is then the ``component_id``); repeated rows are linked, and rows that repeat a key
     should hold the same text; no rows give no rows.
     """
-    prints = materialize(fingerprints(docs, key, text, shingle_words))
+    prints = materialize(fingerprints(docs, key, text, shingle_words, with_sets=more_links is not None))
     points = materialize(prints.groupBy("fp").agg(F.min("_key").alias("_key")).withColumn("node", F.col("_key")))
-    roots = smallest_reachable(links(points.select("fp", "node"), reach, **options))
+    edges = links(points.select("fp", "node"), reach, **options)
+    if more_links is not None:
+        nodes = prints.join(points.select("fp", "node"), "fp").groupBy("_key").agg(F.min("node").alias("node"), F.min("shingles").alias("shingles"))
+        edges = more_links(docs.select(key_column(key).alias("_key"), F.col(text).alias("text")), materialize(nodes), edges)
+    roots = smallest_reachable(edges)
     labelled = points.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
     labelled = labelled.select("fp", F.coalesce("root", "node").alias("root"))
     return prints.join(labelled, "fp").select(
