@@ -23,8 +23,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: shingles of five words, Jaccard 0.8 or at most 3 of 64 bits differ."""
-    found = simhash.components(docs, reach=3, shingle_words=similar.SHINGLE_WORDS, more_links=similar.more_links)
-    return simhash.keep_one(docs, found)
+    return simhash.keep_one(docs, reach=3, shingle_words=similar.SHINGLE_WORDS, more_links=similar.more_links)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

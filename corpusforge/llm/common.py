@@ -146,5 +146,22 @@ def key_column(name: str) -> Column:
     return F.coalesce(F.col(name).cast("long"), F.lit(MIN_LONG))
 
 
+def identified(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``_doc`` (the whole row) and ``_key``, one number for every distinct id and text.
+
+    Numbers order as the ids do, a null id first, then by hashes of the text. They are the ids themselves
+    unless an id (or null) has several texts; only then are ids and hashes numbered anew, and rows stored.
+    """
+    rows = docs.select(F.struct("*").alias("_doc"), key_column(key).alias("_key"))
+    body = F.col("_doc").getField(text)
+    told = rows.select("_key", F.xxhash64(body).alias("_h"), F.coalesce(F.crc32(body.cast("binary")), F.lit(-1)).alias("_c"))
+    several = F.min(F.struct("_h", "_c")) != F.max(F.struct("_h", "_c"))
+    if told.groupBy("_key").agg(several.alias("_several")).filter("_several").isEmpty():
+        return rows
+    numbers = numbered(materialize(told.distinct()), [F.col("_key"), F.col("_h"), F.col("_c")], "_number")
+    rows = rows.withColumns({"_h": F.xxhash64(body), "_c": F.coalesce(F.crc32(body.cast("binary")), F.lit(-1))})
+    return materialize(rows.join(numbers, ["_key", "_h", "_c"]).select("_doc", F.col("_number").alias("_key")))
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.select(F.sum(F.octet_length(F.col(text))).alias("b")).first()["b"] or 0)

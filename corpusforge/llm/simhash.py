@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import MIN_LONG, key_column, text_groups
+from corpusforge.llm.common import identified, text_groups
 from corpusforge.session import materialize
 
 #: Points the tree is fitted on at most (about), points a shard should have, and most rows of one task.
@@ -51,10 +51,10 @@ def shingle_set(text: bytes, shingle_words: int, seed: int = 43) -> int:
     return sum(xxhash.xxh64_intdigest(s, seed) for s in shingles) & ((1 << 64) - 1)
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 3, with_sets: bool = False) -> DataFrame:
-    """``_id, _key, fp`` for every row; ``fp`` is the fingerprint's bits as a signed number. Null is empty.
+def fingerprints(docs: DataFrame, shingle_words: int = 3, with_sets: bool = False) -> DataFrame:
+    """``_id, _key, fp`` for every row of ``_id, _key, text``; ``fp`` is the fingerprint's bits as a signed number.
 
-    ``with_sets`` adds ``shingles``, a hash of the set of shingles.
+    A null text counts as empty. ``with_sets`` adds ``shingles``, a hash of the set of shingles.
     """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,11 +66,10 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
                 arrays.append(pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    names = ["_id", "fp", "shingles"][: 3 if with_sets else 2]
-    kind = docs.select(key).schema[0].dataType.simpleString()
-    source = docs.select(F.col(key), F.col(text).cast("binary"))
-    schema = f"_id {kind}, fp long" + (", shingles long" if with_sets else "")
-    return source.mapInArrow(compute, schema).select("_id", key_column("_id").alias("_key"), *names[1:])
+    names = ["row", "fp", "shingles"][: 3 if with_sets else 2]
+    source = docs.select(F.struct("_id", "_key").alias("row"), F.col("text").cast("binary"))
+    schema = f"row {source.schema[0].dataType.simpleString()}, fp long" + (", shingles long" if with_sets else "")
+    return source.mapInArrow(compute, schema).select("row.*", *names[1:])
 
 
 # --- the tree --------------------------------------------------------------------------------------------
@@ -245,27 +244,45 @@ def components(
     Fingerprints link at ``reach`` or fewer differing bits; ``component_id`` is the smallest key reachable.
     ``more_links`` (as in ``similar``) adds links that fingerprints do not show.
     Texts without words, null ones too, have fingerprint zero and link like any other. A null key counts
-    as the smallest (and is then the ``component_id``); repeated rows are linked, and rows that repeat a key
-    should hold the same text; no rows give no rows.
+    as the smallest (and is then the ``component_id``); different texts under one key, or without one, are
+    different documents, and repeated rows are linked; no rows give no rows.
     """
-    prints = materialize(fingerprints(docs, key, text, shingle_words, with_sets=more_links is not None))
-    points = materialize(prints.groupBy("fp").agg(F.min("_key").alias("_key")).withColumn("node", F.col("_key")))
+    source = identified(docs.select(key, text), key, text)
+    found = _grouped(source, reach, shingle_words, key, text, more_links, options)
+    return found.select(
+        F.col("_id").alias(key),
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("root_id").cast("long").alias("component_id"),
+    )
+
+
+def _grouped(source: DataFrame, reach: int, shingle_words: int, key: str, text: str, more_links, options: dict) -> DataFrame:
+    """``_id, _key, fp`` of every row of ``_doc, _key``, and ``root, root_id``: the smallest ``_key`` reachable and its id."""
+    source = source.select(F.col("_doc").getField(key).alias("_id"), "_key", F.col("_doc").getField(text).alias("text"))
+    prints = materialize(fingerprints(source, shingle_words, with_sets=more_links is not None))
+    points = materialize(prints.groupBy("fp").agg(F.min("_key").alias("node"), F.min_by("_id", "_key").alias("node_id")))
     edges = links(points.select("fp", "node"), reach, **options)
     if more_links is not None:
         nodes = prints.join(points.select("fp", "node"), "fp").groupBy("_key").agg(F.min("node").alias("node"), F.min("shingles").alias("shingles"))
-        edges = more_links(docs.select(key_column(key).alias("_key"), F.col(text).alias("text")), materialize(nodes), edges)
+        edges = more_links(source.select("_key", "text"), materialize(nodes), edges)
     roots = smallest_reachable(edges)
     labelled = points.join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
     labelled = labelled.select("fp", F.coalesce("root", "node").alias("root"))
-    return prints.join(labelled, "fp").select(
-        F.col("_id").alias(key),
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.nullif(F.col("root"), F.lit(MIN_LONG)).alias("component_id"),
-    )
+    labelled = labelled.join(points.select(F.col("node").alias("root"), F.col("node_id").alias("root_id")), "root")
+    return prints.join(labelled, "fp")
 
 
-def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Of ``docs``, one row per component: that of the smallest key (one of them, if rows repeat it)."""
-    keep = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(key_column(key).alias("_key")).distinct()
-    rows = docs.select(F.struct("*").alias("_doc"), key_column(key).alias("_key"))
+def keep_one(
+    docs: DataFrame,
+    reach: int = 2,
+    shingle_words: int = 3,
+    key: str = "doc_id",
+    text: str = "text",
+    more_links: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None,
+    **options,
+) -> DataFrame:
+    """Of ``docs``, one row per component: that of the smallest key (one of them, if the row is repeated)."""
+    rows = identified(docs, key, text)
+    found = _grouped(rows, reach, shingle_words, key, text, more_links, options)
+    keep = found.filter("_key = root").select("_key").distinct()
     return rows.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select("_doc.*")

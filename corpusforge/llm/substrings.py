@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import Words, key_column, text_bytes, text_groups
+from corpusforge.llm.common import Words, identified, text_bytes, text_groups
 
 WINDOW, ANCHOR = 20, 8
 #: Text per reference block, and windows a task holds before it sends them.
@@ -173,10 +173,11 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
     A word goes if one of its windows also starts earlier: in a document of smaller key, or earlier in its
     own. Kept words are joined by one space. Null and short texts have no windows. A null key counts as the
-    smallest; rows that repeat a key are taken as the same document, none earlier than the other, and
-    should hold the same text. No rows give no rows.
+    smallest; different texts under one key, or without one, are different documents, in a fixed order, and
+    equal ones the same document, none earlier than the other. No rows give no rows.
     """
-    source = docs.select(F.col(key).alias("_id"), key_column(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows, body = identified(docs.select(key, text), key, text), F.col("_doc").getField(text)
+    source = rows.select(F.col("_doc").getField(key).alias("_id"), "_key", F.coalesce(body, F.lit("")).alias("text"))
     spans = (
         factors(window_hits(source, window, **options), window)
         .groupBy("_key")
