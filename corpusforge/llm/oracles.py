@@ -110,3 +110,69 @@ def quality_sql(risk: float = 0.05, delta: float = 0.1) -> str:
     over as (select distinct doc_id from scored s join chosen c on c.lang is not distinct from s.lang and c.rule = s.rule and score > cutoff)
     select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     not base_failed and doc_id not in (select doc_id from over) as kept from base"""
+
+
+def _runs(source: str, target: str) -> str:
+    """CTE ``target(g, h, i)``: the nodes above ``source(g, h, i)``; a group's last node stays as it is."""
+    return f"""{target} as (select g, case when any_value(n) = 1 then any_value(h) else sha256(string_agg(h, '' order by i)) end as h, i // 16 as i
+        from (select *, count(*) over (partition by g) as n from {source}) group by g, i // 16)"""
+
+
+def _climb(source: str, target: str, nodes: str) -> str:
+    """CTE ``target``: paths one level up. A path has its node (g, i), the hash of its version and its siblings so far."""
+    return f"""{target} as (select p.* replace (p.i // 16 as i,
+            case when s.n = 1 then p.fold else sha256(array_to_string(s.lo, '') || p.fold || array_to_string(s.hi, '')) end as fold,
+            p.proof || array_to_string(s.lo, '') || array_to_string(s.hi, '') as proof) from {source} p
+        join (select a.g, a.i, any_value(n) as n,
+                coalesce(list(b.h order by b.i) filter (where b.i < a.i), []) as lo, coalesce(list(b.h order by b.i) filter (where b.i > a.i), []) as hi
+            from (select *, count(*) over (partition by g) as n from {nodes}) a join {nodes} b on a.g = b.g and a.i // 16 = b.i // 16 group by a.g, a.i) s
+        on s.g = p.g and s.i = p.i)"""
+
+
+def manifest_sql(levels: int = 6) -> str:
+    """Leaves, ``levels`` levels in every source and over the sources, and every leaf's path through them."""
+    columns = ["cast(doc_id as varchar)", "source", "lang", "cast(n_chars as varchar)"]
+    field = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(c) for c in [*columns, text])})"
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    small = f"translate(text, '{capitals}', '{capitals.lower()}')"
+    bits = "list_reduce([{}] || range(8), lambda c, k: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end))"
+    digits = "list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ord(x) as bigint))"
+    crc = f"xor(list_reduce([4294967295::bigint] || {digits}, lambda a, b: {bits.format('xor(a, b)')}), 4294967295)"
+    parts = [
+        f"""leaves as (select doc_id, source, {leaf('text')} as leaf, case when ({crc}) % 5 = 0 then {leaf(small)} else {leaf('text')} end as now from documents)""",
+        "sources as (select source, row_number() over (order by source nulls first) - 1 as g from (select distinct source from documents))",
+        """placed as (select l.*, g, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as i
+            from leaves l join sources s on l.source is not distinct from s.source)""",
+        "n0 as (select g, leaf as h, i from placed)",
+        "p0 as (select doc_id, leaf, g, i, now as fold, '' as proof from placed)",
+    ]
+    for k in range(levels):
+        parts += [_climb(f"p{k}", f"p{k + 1}", f"n{k}"), _runs(f"n{k}", f"n{k + 1}")]
+    parts += [
+        f"m0 as (select 0 as g, h, g as i from n{levels})",
+        f"q0 as (select p.doc_id, p.leaf, n.h as subroot, 0 as g, p.g as i, p.fold, p.proof from p{levels} p join n{levels} n on n.g = p.g)",
+    ]
+    for k in range(levels):
+        parts += [_climb(f"q{k}", f"q{k + 1}", f"m{k}"), _runs(f"m{k}", f"m{k + 1}")]
+    return f"""with {', '.join(parts)} select doc_id, leaf, subroot, h as root, sha256(proof) as proof_sha256, fold as folded_root, fold = h as verified
+        from q{levels}, m{levels}"""
+
+
+PHRASES = r"""with pieces as (select coalesce(lang, 'und') as lang,
+        unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+    w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+    n as (select lang, sum(len(w))::bigint as n from w group by 1),
+    f as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f
+        from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3)) t(k)) group by all),
+    cand as (select * from f where k > 1 and f >= 10),
+    cuts as (select lang, k, phrase, f as a, string_split(phrase, ' ') as x, unnest(range(1, k)) as cut from cand),
+    scored as (select c.lang, c.k, c.phrase, a, cut, l.f as l, r.f as r, (1000000::hugeint * a * a) // (l.f::hugeint * r.f) as score from cuts c
+        join f l on l.lang = c.lang and l.phrase = array_to_string(x[:cut], ' ') and l.k = cut
+        join f r on r.lang = c.lang and r.phrase = array_to_string(x[cut + 1:], ' ') and r.k = c.k - cut),
+    best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+    covered as (select lang, phrase, max(f) as longer from (select lang, f, unnest([array_to_string(x[:2], ' '), array_to_string(x[2:], ' ')]) as phrase
+        from (select lang, f, string_split(phrase, ' ') as x from cand where k = 3)) group by all),
+    kept as (select b.* from best b left join covered c on c.lang = b.lang and c.phrase = b.phrase where longer is null or 100 * longer < 50 * a),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+    select ranked.lang, rank, phrase, a, l, r, n.n as n, score::bigint as score from ranked join n on n.lang = ranked.lang where rank <= 2000"""

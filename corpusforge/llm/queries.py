@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.llm import fingerprints, lines, mixing, oracles, packing, quality, sharding, simhash, substrings, tokens, urls
+from corpusforge.llm import (
+    fingerprints,
+    lines,
+    manifest,
+    mixing,
+    oracles,
+    packing,
+    phrases,
+    quality,
+    sharding,
+    simhash,
+    substrings,
+    tokenfiles,
+    tokens,
+    urls,
+)
+from corpusforge.session import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +97,20 @@ def op9(spark, folder):
 @query("op10_quality_rules", oracles.quality_sql())
 def op10(spark, folder):
     return quality.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op11_merkle_manifest", oracles.manifest_sql())
+def op11(spark, folder):
+    return manifest.tampered_proofs(table(spark, folder, "documents"))
+
+
+@query("op12_token_files")
+def op12(spark, folder):
+    place = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfiles.write_ids(table(spark, folder, "documents"), place)
+    return tokenfiles.read_documents(spark, place)
+
+
+@query("op13_phrase_collocations", oracles.PHRASES)
+def op13(spark, folder):
+    return phrases.collocations(table(spark, folder, "documents"))
