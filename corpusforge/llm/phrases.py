@@ -3,8 +3,9 @@
 A sample proposes: phrases that reach a lowered count in it. Its negative border are the phrases not
 proposed whose two parts, without the first and without the last word, are. One pass over all documents
 counts proposals and border exactly. A phrase of the border that turns out frequent is a failure: phrases
-built on it were never counted. Further passes count those, until a pass finds nothing that its own
-filters did not know; then every frequent phrase has been counted over every document.
+built on it were never counted. A further pass counts those, until a pass finds nothing that its own
+filters did not know; then every frequent phrase has been counted over every document. A further pass
+takes the phrases that it counts for the first time as frequent until it knows better, so one is enough.
 
 Tasks know proposals and frequent phrases as bitmaps of bounded size. A bit set by another phrase makes
 a task count more than it must, and it is the same in every task, so counts stay exact. Phrases are
@@ -32,7 +33,7 @@ MIN_COUNT, LONGEST = 10, 3
 #: Part of the documents that proposes phrases, and the part of the expected count that a proposal needs.
 SAMPLE, LOWERED = 0.25, 0.8
 #: Texts counted together in a task; most bits of a bitmap (32 MB), and bits per phrase below that.
-HELD_BYTES = 8 << 20
+HELD_BYTES = 6 << 20
 MOST_BITS, BITS_EACH = 1 << 28, 16
 SLICE_BYTES = 1 << 16
 
@@ -123,7 +124,7 @@ def count_in(texts: list[bytes], lang: str, rounds: list[list[Bitmap | None]], l
 
     A round is a bitmap per phrase length below ``longest``; None holds everything. A round counts a
     phrase when it holds the phrase without its last and without its first word. The first round counts
-    all words, and the empty phrase for their total.
+    all words, and the empty phrase for their total. Later rounds hold what they are the first to count.
     """
     t = _Texts(texts)
     if not len(t.number):
@@ -153,7 +154,11 @@ def count_in(texts: list[bytes], lang: str, rounds: list[list[Bitmap | None]], l
         if length == longest:
             return
         hashes = _phrase_hashes(hashes[first], hashes[last])
-        held = [p if r[length - 1] is None else p & r[length - 1].holds(hashes) for p, r in zip(parts, rounds)]
+        seen, held = np.zeros(len(keys), bool), []
+        for p, r in zip(parts, rounds):
+            known = np.ones(len(keys), bool) if r[length - 1] is None else r[length - 1].holds(hashes)
+            held.append(p & (known | ~seen) if held else p & known)
+            seen |= p
         names, number, place = longer, back.astype(np.int64), place[pair]
 
 
@@ -192,7 +197,8 @@ def counted(docs: DataFrame, rounds: list[list[Bitmap | None]], longest: int, he
         yield from flush()
 
     source = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary"))
-    sums = source.mapInArrow(tally, "key string, n long").groupBy("key").agg(F.sum("n").alias("f"))
+    # tasks have added up already: adding up again before the shuffle costs more than it saves
+    sums = source.mapInArrow(tally, "key string, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("f"))
     # a word holds no tab and no space, so the first tab ends the phrase
     at = F.locate("\t", F.col("key"))
     phrase = F.substr("key", F.lit(1), at - 1)
@@ -220,7 +226,7 @@ def frequent_phrases(
         known = found[0]
         for more in found[1:]:
             known = known.unionByName(more)
-        if longest == 1 or not _unknown(found[-1], rounds, longest):
+        if longest == 1 or len(rounds) > 1 or not _unknown(found[-1], rounds, longest):
             return known
         rounds.append([bitmap(known.filter(F.col("words") == n)) for n in range(1, longest)])
 
