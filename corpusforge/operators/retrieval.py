@@ -9,10 +9,9 @@ Shape of the job
    picked, so further copies are pruned before the search shuffle. Copies cost nothing, however many.
 3. Groups above ``CELL_ROWS`` are tiled: each pass cuts every big cell into slices of equal row count
    along the next coordinate, until cells are small. A point first searches its home cell, which
-   bounds its n-th similarity; then it visits only the cells that its ball can reach. In a few
-   dimensions these are few cells. In many dimensions single coordinates tell vectors apart badly, balls
-   reach most cells, and the exact search of a group is then near to comparing all of its points with
-   all of its training rows, cell by cell.
+   bounds its n-th similarity; then it visits only the cells that its ball can reach. In many
+   dimensions single coordinates tell vectors apart badly, so cells are cones around pivots there, and
+   pairs in a cell are bounded before they are summed (:mod:`cones`).
 4. Cells (and chunks of points that share a cell) are packed into tasks that are even in points and
    training rows together; a task multiplies blocks with numpy and emits at most n + 1 candidates per
    point and class.
@@ -28,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusforge.operators import cones
 from corpusforge.operators.cleaning import category, number
 from corpusforge.operators.joins import lookup_join
 from corpusforge.operators.quantiles import bracket_columns, order_values
@@ -40,6 +40,8 @@ POINT_CHUNK = 8_192
 SLICES = 32
 SCORE_BLOCK = 2_000_000
 PACK_ROWS = 65_536
+#: From so many coordinates on, cells are cones.
+CONE_DIMS = 8
 
 
 # ---------------------------------------------------------------- vectors and prefixes
@@ -309,6 +311,8 @@ def _scorer(dims: int):
 
     def best(q, t, ids, floor, k):
         """(point row, similarity, id) of the top k, by similarity then id; ``t`` is sorted by id."""
+        if dims >= CONE_DIMS:
+            return cones.best(q, t, ids, floor, k)[:3]
         out = []
         step = max(1, SCORE_BLOCK // max(1, len(ids)))
         for start in range(0, len(q), step):
@@ -420,11 +424,14 @@ def nearest(points: DataFrame, train: DataFrame, dims: int, k: int, cell_rows: i
     """
     cell = F.to_json(F.struct("lane", "cls")).alias("cell")
     points = _scalars(points.select("pid", cell, "cls", "k", "vec"), dims).withColumn("floor", F.lit(-2.0))
-    train, levels = _tile(train.drop("lane", "cls"), dims, max(cell_rows, 4 * SLICES * k))
+    least = max(cell_rows, 4 * SLICES * k)
+    cut_cones = dims >= CONE_DIMS
+    train, levels = (cones.split if cut_cones else _tile)(train.drop("lane", "cls"), dims, least)
     if not levels:
         return _score(points, train, dims)
 
-    home = materialize(_descend(points.withColumn("root", F.col("cell")), levels))
+    rooted = points.withColumn("root", F.col("cell"))
+    home = materialize(cones.descend(rooted, levels, dims, False) if cut_cones else _descend(rooted, levels))
     first = materialize(_score(home.drop("root"), train, dims))
     bound = first.select("pid", "cls", F.element_at("sims", -1).alias("_kth"), F.size("sims").alias("_got"))
     seeking = home.withColumnRenamed("cell", "_home").withColumnRenamed("root", "cell").drop("floor")
@@ -432,7 +439,11 @@ def nearest(points: DataFrame, train: DataFrame, dims: int, k: int, cell_rows: i
     seeking = seeking.withColumn("floor", F.when(F.col("_got") >= F.col("k"), F.col("_kth")).otherwise(F.lit(-2.0)))
     reach = F.sqrt(F.greatest(2.0 - 2.0 * F.col("floor"), F.lit(0.0)) + 1e-12)
     seeking = seeking.withColumn("_reach", reach).drop("_kth", "_got")
-    away = _descend(seeking, levels, F.col("_reach")).filter(F.col("cell") != F.col("_home")).drop("_home", "_reach")
+    if cut_cones:
+        away = cones.descend(seeking.drop("_reach"), levels, dims, True)
+    else:
+        away = _descend(seeking, levels, F.col("_reach")).drop("_reach")
+    away = away.filter(F.col("cell") != F.col("_home")).drop("_home")
     second = _score(away, train, dims)
     entry = F.explode(F.arrays_zip("sims", "ids")).alias("_e")
     flat = first.unionByName(second).select("pid", "cls", entry).select("pid", "cls", "_e.sims", "_e.ids")
