@@ -1,9 +1,14 @@
-"""Continuous judging of responses as they are appended to the response log."""
+"""Continuous judging of responses as they are appended to the response log, and running counters."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusforge.operators.joins import latest
 from corpusforge.operators.verdicts import split_responses, verdict
@@ -40,6 +45,76 @@ def current_verdicts(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark.read.parquet(path), ["_row_id"], ["attempt"])
 
 
-def verdict_totals(verdicts: DataFrame) -> DataFrame:
-    """Rows per status."""
-    return verdicts.groupBy("status").agg(F.count(F.lit(1)).alias("cnt"))
+def status_changes(verdicts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by.., status, change`` of a stream of verdicts: 1 for a row's new status, -1 for the one it replaces.
+
+    Keyed state holds the last attempt of every row, so a later attempt corrects what an earlier one
+    counted, in whatever order they arrive; of equal attempts the one with the largest values counts.
+    ``by`` are columns that an attempt does not change, such as the file of the row. State for very many
+    rows belongs in the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    columns = ["attempt", "predicted", "status"]
+
+    def rank(version: tuple) -> tuple:
+        return tuple((v is not None, v) if v is not None else (False,) for v in version)
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = state.get if state.exists else None
+        last, own = before, ()
+        for frame in frames:
+            shown = frame.astype(object).where(frame.notna(), None)
+            for row in shown[[*columns, *by]].itertuples(index=False, name=None):
+                version, own = (int(row[0]) if row[0] is not None else None, *row[1:3]), row[3:]
+                if last is None or rank(version) > rank(last):
+                    last = version
+        if last == before:
+            return
+        state.update(last)
+        moves = ([(*own, before[2], -1)] if before else []) + [(*own, last[2], 1)]
+        if before is None or before[2] != last[2]:
+            yield pd.DataFrame(moves, columns=[*by, "status", "change"])
+
+    kinds = dict(verdicts.dtypes)
+    out = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "status string", "change bigint"])
+    source = verdicts.select("_row_id", F.col("attempt").cast("bigint").alias("attempt"), "predicted", "status", *by)
+    return source.groupBy("_row_id").applyInPandasWithState(
+        follow, out, "attempt bigint, predicted string, status string", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def add_changes(changes: DataFrame, path: str, batch: int) -> None:
+    """Store counters after micro-batch ``batch``: those before it and its changes.
+
+    Every batch writes a version of its own from the version before it, so a batch that is run again
+    after a failure counts once.
+    """
+    spark = changes.sparkSession
+    keys = [c for c in changes.columns if c != "change"]
+    schema = ", ".join(f"`{n}` {t}" for n, t in changes.drop("change").dtypes) + ", cnt bigint, batch bigint"
+    now = changes.groupBy(*keys).agg(F.sum("change").alias("cnt"))
+    if batch > 0:
+        stored = spark.read.schema(schema).parquet(path).filter(F.col("batch") < batch)
+        last = stored.agg(F.max("batch")).first()[0]
+        now = now.unionByName(stored.filter(F.col("batch") == last).select(*keys, "cnt")).groupBy(*keys).agg(F.sum("cnt").alias("cnt"))
+    now.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch}")  # one row per counter
+
+
+def write_counts(changes: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Keep running counters of a stream of :func:`status_changes` in ``path``, in update mode.
+
+    ``trigger`` as for ``DataStreamWriter.trigger``; all that is there, once, if none is given.
+    """
+    return (
+        changes.writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda df, batch: add_changes(df, path, batch))
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def current_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Counters after the last micro-batch; those that fell to zero are left out."""
+    stored = spark.read.parquet(path)
+    last = stored.agg(F.max("batch")).first()[0]
+    return stored.filter((F.col("batch") == last) & (F.col("cnt") != 0)).drop("batch")
