@@ -181,6 +181,22 @@ def _(spark, d):
     return text.add_block(df, "block").select("_row_id", "block")
 
 
+ALL_VALUES_SQL = f"""{train_sql('customer_segment', 'segment')}, n as (select count(*) as n from train),
+    v as (select nation, count(*) as cnt, row_number() over (order by count(*) desc, min(_row_id)) as rnk from train group by 1),
+    t as (select string_agg(nation || '(' || {PCT.format('cnt / n')} || ')', ', ' order by rnk) as x, count(*) as uniq from v, n)
+    select b._row_id, chr(10) || 'Numerical features:' || chr(10) || '  acctbal:' || chr(10) || num.x || chr(10) || chr(10) ||
+    'Categorical features (all values):' || chr(10) || '  nation (' || t.uniq || ' unique):' || chr(10) || '    ' || t.x || chr(10) ||
+    '    current_sample=' || b.nation || '(' || {PCT.format('coalesce(v.cnt, 0) / n.n')} || ')' as block
+    from base b left join v on v.nation = b.nation, n, t, (select {numbers_text('acctbal', '    ')} as x from train) num"""
+
+
+@query("render_stats_all_values", ALL_VALUES_SQL)
+def _(spark, d):
+    df = base(spark, d, "customer_segment")
+    text = T.StatsText(train_of(df, "segment"), SPECS["customer_segment"], CorpusSpec(with_stats=True, top_k=None))
+    return text.add_block(df, "block", include_header=False).select("_row_id", "block")
+
+
 @query("render_inline", f"""{train_sql('doc_quality', 'quality')},
     n as (select string_agg('when quality=' || quality || ': ' || x, '; ' order by quality) as x from (select quality,
           'mean=' || printf('%.3f', avg(n_chars)) || ', std=' || printf('%.3f', stddev_samp(n_chars)) as x from train group by 1)),
@@ -198,7 +214,7 @@ def _(spark, d):
 def _(spark, d):
     df, spec = base(spark, d, "doc_quality"), SPECS["doc_quality"]
     contexts = T.inline_contexts(train_of(df, "quality"), spec, "mean_std")
-    return df.select("_row_id", T.render_inline(df, spec, contexts).alias("text"))
+    return T.add_inline(df, spec, contexts, "text").select("_row_id", "text")
 
 
 @query("render_inline_regression", f"""with base as ({base_sql('part_price')}), n as (select 'train stats: mean=' || printf('%.2f', avg(size)) as x from base),
@@ -210,7 +226,7 @@ def _(spark, d):
     ' (top categories: ' || b.x || ')' as text from base, n, t, b""")
 def _(spark, d):
     df, spec = base(spark, d, "part_price"), SPECS["part_price"]
-    return df.select("_row_id", T.render_inline(df, spec, T.inline_contexts(df, spec, "mean_only")).alias("text"))
+    return T.add_inline(df, spec, T.inline_contexts(df, spec, "mean_only"), "text").select("_row_id", "text")
 
 
 # ---------------------------------------------------------------- cases and prompts
