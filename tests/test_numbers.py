@@ -1,6 +1,8 @@
 """Number text equals Python's."""
 
+import math
 import random
+import struct
 
 from pyspark.sql import functions as F
 
@@ -44,3 +46,23 @@ def test_missing_numbers_and_labels(spark):
     df = spark.createDataFrame([(None, 25.0, True), (float("nan"), 33.333, False)], "x double, p double, b boolean")
     rows = df.select(fmt_fixed(F.col("x"), 2), percent_label(F.col("p")), coerce_01(F.col("b"))).collect()
     assert [tuple(r) for r in rows] == [("nan", "25%", 1), ("nan", "33.3%", 0)]
+
+
+def test_random_bits(spark):
+    """Any finite double, and many with few or many digits."""
+    r = random.Random(9)
+    values = [struct.unpack("<d", struct.pack("<Q", r.getrandbits(64)))[0] for _ in range(6_000)]
+    values += [round(r.uniform(-(10 ** r.randint(0, 18)), 10 ** r.randint(0, 18)), r.randint(0, 7)) for _ in range(6_000)]
+    values += [s * (k + 0.5) / 10**d for k in range(0, 200, 7) for d in range(7) for s in (1, -1)]
+    values += [math.nextafter(v, up) for v in values[-400:] for up in (math.inf, -math.inf)]
+    values = [v for v in values if v == v]
+    x = F.col("x")
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for v, *texts, shortest, grouped in df.select("x", *[fmt_fixed(x, d) for d in (0, 1, 2, 3, 4, 6)], py_str(x), fmt_thousands(x)).collect():
+        assert texts == [f"{v:.{d}f}" for d in (0, 1, 2, 3, 4, 6)] and shortest == repr(v) and grouped == f"{v:,.0f}", v
+
+
+def test_no_python_in_number_text(spark):
+    x = F.col("id").cast("double")
+    plan = spark.range(9).select(fmt_fixed(x, 2), py_str(x), fmt_thousands(x), percent_label(x))
+    assert "Python" not in plan._jdf.queryExecution().toString()
