@@ -114,21 +114,12 @@ def _(spark, d):
 @query("shard_merge", """select c_mktsegment as prefix, 'finetune' as mode, 'finetune_a_final.json' as tail, c_custkey % 3 + 1 as part,
     row_number() over (partition by c_mktsegment, c_custkey % 3 order by c_custkey) - 1 as pos, c_name as output from customer""")
 def _(spark, d):
-    """Two versions of every shard in folders of their own; the newer one has other texts."""
+    """Two versions of every shard, each written in one go; the newer one has other texts."""
     path = folder(spark)
-    rows = table(spark, d, "customer")
-    names = sorted(r[0] for r in rows.select("c_mktsegment").distinct().collect())
-    for version, text in ((0, F.concat(F.lit("old "), "c_name")), (1, F.col("c_name"))):
-        for prefix in names:
-            for part in (1, 2, 3):
-                one = rows.filter((F.col("c_mktsegment") == prefix) & (F.col("c_custkey") % 3 + 1 == part)).orderBy("c_custkey")
-                record = one.select(F.lit("i").alias("instruction"), F.lit("x").alias("input"), text.alias("output"))
-                target = f"{path}/v{version}/{prefix}_mode_finetune_{part}_finetune_a_final.json"
-                record.coalesce(1).write.json(target)
-    found = IO.read_corpus(spark, path, lines=True, recursive=True)
-    # Spark writes a folder per name: the shard is that folder, as old as its version
-    shard = F.regexp_extract("path", "/([^/]+)/[^/]+$", 1)
-    version = F.regexp_extract("path", "/v([01])/", 1).cast("int")
-    folder_path = F.regexp_extract("path", "^(.*)/[^/]+$", 1)
-    named = found.withColumn("file", shard).withColumn("mtime", version).withColumn("path", folder_path)
-    return IO.merge_shards(named, 3).select("prefix", "mode", "tail", "part", "pos", "output")
+    name = F.concat("c_mktsegment", F.lit("_mode_finetune_"), (F.col("c_custkey") % 3 + 1).cast("string"), F.lit("_finetune_a_final.json"))
+    rows = table(spark, d, "customer").select(
+        name.alias("shard"), F.lit("i").alias("instruction"), F.lit("x").alias("input"), F.col("c_name").alias("output"), "c_custkey"
+    )
+    IO.write_shards(rows.withColumn("output", F.concat(F.lit("old "), "output")), path, 0, ["c_custkey"])
+    IO.write_shards(rows, path, 1, ["c_custkey"])
+    return IO.merge_written_shards(spark, path, 3).select("prefix", "mode", "tail", "part", "pos", "output")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusforge.operators.joins import latest
+from corpusforge.operators.joins import latest, running
+from corpusforge.operators.ranking import RANGE_ROWS, in_ranges
 from corpusforge.session import materialize
 from corpusforge.spec import TableSpec
 
@@ -184,3 +185,52 @@ def merge_shards(records: DataFrame, parts: int, name: str = "file", path: str =
     chosen = latest_part(files.filter(F.col("part").between(1, parts)), path)
     rest = [c for c in records.columns if c not in (path, name, "mtime")]
     return records.join(chosen, path).select("prefix", "mode", "tail", "part", *rest)
+
+
+SHARD_SCHEMA = CORPUS_SCHEMA + ", at bigint, version bigint, shard string, piece int"
+SHARD_MANIFEST = "shard string, piece int, rows bigint, first bigint, version bigint"
+
+
+def write_shards(records: DataFrame, path: str, version: int, order: list[str], rows: int = RANGE_ROWS) -> None:
+    """Write one version of any number of shards in one go: JSON lines, several files per large shard, and a manifest.
+
+    ``records`` carries ``shard`` (the shard's file name), the corpus columns, and ``order``. A shard is cut
+    into pieces of ``rows`` or so along its order, one file each. The manifest has a row per file: the
+    shard, its version, the piece, its rows, and how many rows of the shard come before it. A version is
+    there once its manifest is, which is written last.
+    """
+    keys = ["shard", "_piece"]
+    ranged = in_ranges(records, ["shard"], [F.col(c) for c in order], rows)
+    counts = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    manifest = counts.select("shard", F.col("_piece").alias("piece"), "rows", running(["shard"], [F.col("_piece")], "rows").alias("first"))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    placed = ranged.select("instruction", "input", "output", at.cast("bigint").alias("at"), "shard", F.col("_piece").alias("piece"))
+    # the window leaves every piece whole in one task, in its order: one file per piece
+    placed.write.mode("overwrite").partitionBy("shard", "piece").json(f"{path}/data/version={version}")
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
+
+
+def shard_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file of every version: ``shard, piece, rows, first, version``."""
+    return spark.read.schema(SHARD_MANIFEST).parquet(f"{path}/manifest")
+
+
+def merge_written_shards(spark: SparkSession, path: str, parts: int) -> DataFrame:
+    """Records of the newest version of parts 1..parts, with ``prefix, mode, tail, part, pos``, from :func:`write_shards`.
+
+    Only the manifest decides what is read and where a record stands. Missing parts are an error, and so is
+    a folder without shards.
+    """
+    manifest = materialize(shard_manifest(spark, path))
+    files = shard_keys(manifest.select("shard", "version").distinct(), "shard")
+    if files.isEmpty():
+        raise ValueError("no shard files found")
+    lost = missing_parts(files, parts).take(20)
+    if lost:
+        raise ValueError(f"missing shard parts: {[(r['prefix'], r['part']) for r in lost]}")
+    keys = ["prefix", "mode", "tail", "part"]
+    newest = files.filter(F.col("part").between(1, parts)).groupBy(*keys).agg(F.max(F.struct("version", "shard")).alias("_v"))
+    chosen = newest.select(*keys, "_v.version", "_v.shard").join(manifest, ["version", "shard"])
+    records = spark.read.schema(SHARD_SCHEMA).option("mode", "FAILFAST").json(f"{path}/data")
+    joined = records.join(chosen, ["version", "shard", "piece"])
+    return joined.select(*keys, (F.col("first") + F.col("at")).alias("pos"), "instruction", "input", "output")

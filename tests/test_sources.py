@@ -92,3 +92,26 @@ def test_release_deletes_what_was_stored(spark, monkeypatch):
     monkeypatch.setattr(session, "_written", [])
     stored = session.materialize(spark.range(3).toDF("x"))
     assert stored.count() == 3 and session.release(spark) == 1 and session.release(spark) == 0
+
+
+def shard_rows(spark, n, text, parts=(1, 2, 3)):
+    rows = [(f"{p}_mode_finetune_{k}_finetune_x_final.json", "i", "x", f"{text}{p}{k}.{i}", i) for p in ("a", "b=c d") for k in parts for i in range(n)]
+    return spark.createDataFrame(rows, "shard string, instruction string, input string, output string, i int").repartition(5)
+
+
+def test_written_shards_merge_by_their_manifest(spark, tmp_path):
+    path = str(tmp_path)
+    IO.write_shards(shard_rows(spark, 70, "old "), path, 0, ["i"], rows=40)
+    IO.write_shards(shard_rows(spark, 50, "", parts=(1, 3)), path, 2, ["i"], rows=40)
+    manifest = IO.shard_manifest(spark, path).collect()
+    assert len({(r["version"], r["shard"]) for r in manifest}) == 10 and len(manifest) > 10
+    merged = IO.merge_written_shards(spark, path, 3).orderBy("prefix", "part", "pos").collect()
+    want = [
+        (p, k, i, f"{'old ' if k == 2 else ''}{p}{k}.{i}") for p in ("a", "b=c d") for k in (1, 2, 3) for i in range(70 if k == 2 else 50)
+    ]
+    assert [(r["prefix"], r["part"], r["pos"], r["output"]) for r in merged] == want
+    # a version without its manifest is not there yet
+    shard_rows(spark, 5, "half ").drop("i").withColumns({"at": F.lit(0), "piece": F.lit(0)}).write.partitionBy("shard", "piece").json(f"{path}/data/version=3")
+    assert IO.merge_written_shards(spark, path, 3).count() == len(want)
+    with pytest.raises(ValueError, match="missing"):
+        IO.merge_written_shards(spark, path, 4)
