@@ -52,8 +52,9 @@ def op1(spark, folder):
 def op2(spark, folder):
     plan = mixing.mix_plan(table(spark, folder, "documents"))
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("_i")
-    taken = (F.col("copies") * F.col("size")).alias("taken")
-    return plan.select("doc_id", "size", "source_size", "target", taken, each).drop("_i")
+    rows = plan.select("doc_id", "size", "source_size", "target", "copies", "more", each)
+    taken = (F.col("copies") + (F.col("_i") <= F.col("more")).cast("long")) * F.col("size")
+    return rows.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 @query("op3_document_fingerprints", oracles.FINGERPRINTS)

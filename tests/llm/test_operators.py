@@ -214,12 +214,12 @@ def test_mixing(spark):
     texts = passages(4, 400)
     docs = frame(spark, texts)
     plan = mixing.mix_plan(clashing(docs))
-    got = plan.withColumn("taken", F.col("copies") * F.col("size")).collect()
+    got = plan.withColumn("taken", (F.col("copies") + F.col("more")) * F.col("size")).collect()  # no equal rows here
     source_of = {r["doc_id"]: r["source"] for r in docs.collect()}
     sizes = {d: len(brute.words(t)) for d, t in texts}
     check_mix(got, sizes, source_of, lambda s: 40)
-    again = {r["doc_id"]: r["copies"] for r in mixing.mix_plan(docs.repartition(3)).collect()}
-    assert {r["doc_id"]: r["copies"] for r in mixing.mix_plan(docs).collect()} == again
+    again = {r["doc_id"]: r["copies"] + r["more"] for r in mixing.mix_plan(docs.repartition(3)).collect()}
+    assert {r["doc_id"]: r["copies"] + r["more"] for r in mixing.mix_plan(docs).collect()} == again
     mixed = Counter(r["doc_id"] for r in mixing.mix(docs).collect())
     assert mixed == Counter({d: n for d, n in again.items() if n})
     assert mixing.mix_plan(empty(spark)).count() == 0 and mixing.mix(empty(spark)).columns == docs.columns
@@ -231,6 +231,31 @@ def test_mixing_edges(spark):
     assert got[(1, 4)][0] == 2 and got[(2, 0)] == (1, 0) and (None, 1) in got
 
 
+def test_mixing_takes_equal_rows_partly(spark):
+    """One source is a row repeated; its target lies between two multiples of all of its rows."""
+    rows = [(7, "a b c d e", "s0")] * 40 + [(i, "w " * (i % 9 + 1), "s1") for i in range(100, 160)] + [(None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    plan = mixing.mix_plan(docs).collect()
+    target = next(r["target"] for r in plan if r["doc_id"] == 7)
+    one = next(r for r in plan if r["doc_id"] == 7)
+    assert abs((one["copies"] * 40 + one["more"]) * 5 - target) < 5 and 0 < one["more"] < 40
+    mixed = Counter(r["doc_id"] for r in mixing.mix(docs).collect())
+    assert mixed[7] == one["copies"] * 40 + one["more"] and mixed[7] <= 3 * 40
+    taken = Counter()
+    for r in plan:
+        taken[r["source_size"]] += (r["copies"] * r["rows"] + r["more"]) * r["size"]
+    assert sum(taken.values()) == pytest.approx(200 + sum(i % 9 + 1 for i in range(100, 160)), abs=10)
+
+
+def test_mixing_tells_null_text_from_null_source(spark):
+    """A hash of (1, null, 'a b') and (1, 'a b', null) is the same unless it says what is null."""
+    rows = [(1, None, "a b"), (1, "a b", None)] + [(i, "w " * 50, "z") for i in range(2, 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = {(r["doc_id"], r["size"]): r["copies"] + r["more"] for r in mixing.mix_plan(docs, weights=(1, 1, 500)).collect()}
+    mixed = Counter((r["doc_id"], len((r["text"] or "").split())) for r in mixing.mix(docs, weights=(1, 1, 500)).collect())
+    assert mixed == Counter({k: n for k, n in plan.items() if n}) and plan[(1, 2)] == 3 and (1, 0) not in mixed
+
+
 def test_mixing_of_the_table(spark, table):
     got = QUERIES["op2_source_mixing"](spark, FOLDER).collect()
     sizes = {d: len(brute.words(r["text"])) for d, r in table.items()}
