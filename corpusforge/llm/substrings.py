@@ -18,6 +18,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,7 +115,7 @@ def window_hits(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, blo
     blocks = max(1, -(-text_bytes(docs) // block_bytes))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, turn = [], 0, 0
+        held, size, turn = [], 0, 7 * TaskContext.get().partitionId()
         for keys, texts in text_groups(batches):
             group = Words(texts)
             inside = np.flatnonzero(group.whole(window))
