@@ -54,6 +54,21 @@ def numbered(df: DataFrame, order: list[Column], name: str, rows_per_piece: int
     return ranged.join(offsets, "_piece").withColumn(name, place.cast("long")).select("_row.*", name)
 
 
+#: What Python workers keep between tasks, as functions that let it go.
+_memos: list[Callable[[], None]] = []
+
+
+def keeps_memo(forget: Callable[[], None]) -> None:
+    if forget not in _memos:
+        _memos.append(forget)
+
+
+def free_memos() -> None:
+    """For operators that need a worker's memory for themselves: let go what others keep in it."""
+    for forget in _memos:
+        forget()
+
+
 def text_groups(batches: Iterator[pa.RecordBatch], group_bytes: int = GROUP_BYTES) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """Cut (key, binary text) batches into groups of about as many bytes each; a long text stands alone."""
     for batch in batches:

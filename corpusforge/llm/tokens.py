@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import text_groups
+from corpusforge.llm.common import keeps_memo, text_groups
 
 BATCH_BYTES = 1 << 20
 #: Most words that a task's memo keeps, and the longest it keeps, in bytes; longer ones are encoded in every batch.
@@ -160,6 +160,7 @@ class WordEncoder:
 
 def encoder(name: str) -> WordEncoder:
     if name not in _encoders:
+        keeps_memo(_encoders.clear)
         _encoders[name] = WordEncoder(name)
     return _encoders[name]
 
