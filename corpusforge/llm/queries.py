@@ -80,8 +80,8 @@ def op6(spark, folder):
 @query("op7_hash_tree_sharding")
 def op7(spark, folder):
     shards = 40
-    tree, grown = sharding.even_tree(shards), sharding.even_tree(shards + 1)
-    placed = sharding.assign(table(spark, folder, "documents"), tree, grown)
+    tree = sharding.even_tree(shards)
+    placed = sharding.assign(table(spark, folder, "documents"), tree, sharding.with_region(tree, shards))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

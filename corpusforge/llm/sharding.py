@@ -1,10 +1,12 @@
 """Sharding by a weighted hash tree of regions, racks and shards, with DataFrame functions only.
 
-Every document draws a number for every shard, exponential with the shard's weight as rate. A rack's draw
-is the least of its shards', a region's the least of its racks'; so each is again exponential with the
-subtree's whole weight, and going down the tree along the least draws picks every shard in proportion to
-its weight. Because a subtree's draw changes only through shards whose weight changed, movement stays
-inside these: a heavier or new shard only takes documents, a lighter or lost one only gives them.
+A key goes down the tree level by level. At every node each child draws a number from the key and the
+child's own path, exponential with the child's whole weight as rate, and the least draw is taken; so a
+subtree is chosen in proportion to its weight, with one draw per child of the nodes on the way instead of
+one per shard. A draw depends on nothing but the path and the weight of its child. Hence only where weights
+change does anything move: a changed shard makes keys move into or out of its region at the root, into or
+out of its rack for the keys that stay in the region, and between shards only inside its rack; keys that
+stay in an unchanged subtree keep their shard. A shard that opens a region of its own only takes keys.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import even_pieces
+from corpusforge.llm.common import even_pieces, let
 from corpusforge.session import materialize
 
 #: region -> racks -> (shard, weight)
@@ -27,20 +29,52 @@ def even_tree(shards: int, per_rack: int = 5, racks_per_region: int = 4, weight:
     return [racks[lo : lo + racks_per_region] for lo in range(0, len(racks), racks_per_region)]
 
 
-def _least(draws: list[Column]) -> Column:
-    return draws[0] if len(draws) == 1 else F.least(*draws)
+def with_region(tree: Tree, shard: int, weight: float = 1.0) -> Tree:
+    """The tree with one more shard in a region of its own, so that no key moves but into it."""
+    return [*tree, [[(shard, weight)]]]
+
+
+def _weigh(tree: Tree) -> Column:
+    """The tree as a literal: arrays of (weight, path, children); subtrees without weight are left out."""
+
+    def node(weight: float, path: int, *children: Column) -> Column:
+        return F.struct(F.lit(float(weight)).alias("w"), F.lit(path).alias("path"), *[c.alias("below") for c in children])
+
+    def level(nodes: list[tuple]) -> Column:
+        return F.array(*[node(*n) for n in nodes if n[0] > 0])
+
+    def rack(shards: Sequence[tuple[int, float]]) -> Column:
+        return level([(w, s) for s, w in shards])
+
+    def region(racks: Sequence[Sequence[tuple[int, float]]]) -> Column:
+        return level([(sum(w for _, w in shards), j, rack(shards)) for j, shards in enumerate(racks)])
+
+    return level([(sum(w for shards in racks for _, w in shards), i, region(racks)) for i, racks in enumerate(tree)])
 
 
 def tree_shard(key: Column, tree: Tree, seed: int = 42) -> Column:
-    """Shard of a key: the path of least draws through the tree. A null key is a key like any other."""
+    """Shard of a key: its descent through the tree. A null key is a key like any other.
+
+    A region or rack is named by its place among its siblings, a shard by its number: leave an empty list
+    where a subtree is gone, so that the others keep their names.
+    """
+    name = key.cast("string")
+
+    def least(children: Column, *path: Column) -> Column:
+        def draw(child: Column) -> Column:
+            bits = F.shiftrightunsigned(F.xxhash64(name, F.lit(seed), *path, child["path"]), 11)
+            uniform = (bits.cast("double") + 0.5) / float(1 << 53)
+            return F.struct((-F.log(uniform) / child["w"]).alias("draw"), child.alias("child"))
+
+        return F.array_min(F.transform(children, draw))["child"]
 
-    def draw(shard: int, weight: float) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key.cast("string"), F.lit(seed), F.lit(shard)), 11)
-        uniform = (bits.cast("double") + 0.5) / float(1 << 53)
-        return F.struct((-F.log(uniform) / float(weight)).alias("draw"), F.lit(shard).alias("shard"))
+    def in_region(region: Column) -> Column:
+        return let(
+            least(region["below"], region["path"]),
+            lambda rack: least(rack["below"], region["path"], rack["path"])["path"],
+        )
 
-    regions = [_least([_least([draw(s, w) for s, w in rack if w > 0]) for rack in region]) for region in tree]
-    return _least(regions)["shard"]
+    return let(least(_weigh(tree)), in_region)
 
 
 def assign(

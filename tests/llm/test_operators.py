@@ -383,7 +383,8 @@ def test_lines_of_the_table(spark, table):
 
 def test_sharding(spark):
     texts = [(i, f"text {i}" * (i % 5)) for i in range(3000)] + [(None, None), (5, "again"), (5, "again")]
-    tree, grown = sharding.even_tree(12), sharding.even_tree(13)
+    tree = sharding.even_tree(12)
+    grown = sharding.with_region(tree, 12)
     got = sharding.assign(clashing(frame(spark, texts)), tree, grown).collect()
     assert len(got) == len(texts)
     by_shard = defaultdict(list)
@@ -400,14 +401,49 @@ def test_sharding(spark):
     assert sharding.assign(empty(spark), tree).count() == 0
 
 
-def test_a_heavier_shard_only_takes(spark):
-    keys = spark.range(4000).select(F.col("id").alias("k"))
-    tree = [[[(0, 1.0), (1, 2.0)], [(2, 1.0)]], [[(3, 4.0), (4, 1.0)]]]
-    heavier = [[[(0, 1.0), (1, 2.0)], [(2, 3.0)]], [[(3, 4.0), (4, 1.0)]]]
-    got = keys.select(sharding.tree_shard(F.col("k"), tree).alias("a"), sharding.tree_shard(F.col("k"), heavier).alias("b")).collect()
-    assert all(r["b"] in (r["a"], 2) for r in got)
-    share = Counter(r["a"] for r in got)
-    assert all(abs(share[s] / 4000 - w / 9) < 0.03 for s, w in enumerate((1, 2, 1, 4, 1)))
+#: Regions 0 (racks of shards 0-1 and 2), 1 (racks of 3-4 and 5) and 2 (rack of 6).
+TREE = [[[(0, 1.0), (1, 2.0)], [(2, 1.0)]], [[(3, 4.0), (4, 1.0)], [(5, 2.0)]], [[(6, 1.0)]]]
+RACK = {0: (0, 0), 1: (0, 0), 2: (0, 1), 3: (1, 0), 4: (1, 0), 5: (1, 1), 6: (2, 0)}
+
+
+def moves(spark, tree, other, n=6000):
+    k = F.col("id")
+    return [tuple(r) for r in spark.range(n).select(sharding.tree_shard(k, tree), sharding.tree_shard(k, other)).collect()]
+
+
+def test_shards_take_their_weight(spark):
+    share = Counter(a for a, _ in moves(spark, TREE, TREE))
+    assert all(abs(share[s] / 6000 - w / 12) < 0.03 for s, w in enumerate((1, 2, 1, 4, 1, 2, 1)))
+
+
+def test_a_heavier_shard_moves_keys_only_in_or_into_its_subtree(spark):
+    heavier = [TREE[0], [[(3, 4.0), (4, 3.0)], [(5, 2.0)]], TREE[2]]
+    moved = [(a, b) for a, b in moves(spark, TREE, heavier) if a != b]
+    for a, b in moved:
+        assert RACK[b][0] == 1  # into the region, wherever from
+        if RACK[a][0] == 1:
+            assert RACK[b] == (1, 0)  # of the region's own keys, only into the changed rack
+        if RACK[a] == (1, 0):
+            assert b == 4  # of the rack's own keys, only into the heavier shard
+    assert {RACK[a][0] for a, _ in moved} == {0, 1, 2}
+
+
+def test_weight_shifted_within_a_rack_moves_nothing_else(spark):
+    shifted = [TREE[0], [[(3, 1.0), (4, 4.0)], [(5, 2.0)]], TREE[2]]
+    assert {(a, b) for a, b in moves(spark, TREE, shifted) if a != b} == {(3, 4)}
+
+
+def test_a_lost_rack_gives_its_keys_away_and_keeps_names(spark):
+    lost = [TREE[0], [[], [(5, 2.0)]], TREE[2]]
+    for a, b in moves(spark, TREE, lost):
+        assert b not in (3, 4)
+        if RACK[a][0] != 1:
+            assert a == b
+
+
+def test_the_tree_decides(spark):
+    flat = [[[(s, w) for racks in TREE for rack in racks for s, w in rack]]]
+    assert sum(a != b for a, b in moves(spark, TREE, flat)) > 1000
 
 
 def test_sharding_of_the_table(spark, table):
