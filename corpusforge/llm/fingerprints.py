@@ -1,31 +1,40 @@
 """Document fingerprints: Merkle trees over sections and paragraphs, with DataFrame functions only.
 
-A text is cut, without losing a character, into sections (paragraphs up to and with a blank line, at most
-a fixed number), paragraphs (lines) and clauses (a few words). A clause's digest is its SHA-256, a parent's
-the SHA-256 of its children's digests. The fingerprint writes the tree down: the root in full, then for
-every section its digest's beginning and, for every paragraph, the beginnings of its clauses' digests.
-Roots tell whether texts are equal; where they differ, the branches that differ tell where.
+A text is cut, without losing a character, into sections, paragraphs (lines) and clauses. The content says
+where: a clause ends behind a word with a certain last character (at the latest after a fixed number of
+words), a section with a blank line or behind a paragraph whose digest begins with 0. So an edit changes
+the clauses and sections it touches, and those behind it are cut as before. A clause's digest is its
+SHA-256, a parent's the SHA-256 of its children's digests. The fingerprint writes the tree down: the root
+in full, then for every section its digest's beginning and, for every paragraph, the beginnings of its
+clauses' digests. Roots tell whether texts are equal; where they differ, the branches that differ tell where.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusforge.llm.common import let, numbered
+from corpusforge.llm.common import let
 from corpusforge.session import materialize
 
-CLAUSE_WORDS = 5
-SECTION_PARAGRAPHS = 16
+#: Most words of a clause, and the last characters of a word that end one before that.
+CLAUSE_WORDS, CLAUSE_ENDS = 16, ".,;:!?sy0-4"
+#: Beginning of a paragraph's digest that ends a section.
+SECTION_END = "0"
 #: Hex digits kept of a clause's and of a section's digest.
-LEAF, NODE = 6, 8
+LEAF, NODE = 8, 8
 ROOT = 64
+#: White space of the contracts, inside a character class.
+_SPACE = r"\x20\x09-\x0D"
+CLAUSE = (
+    rf"[{_SPACE}]*(?:[^{_SPACE}]*[^{_SPACE}{CLAUSE_ENDS}][{_SPACE}]+){{0,{CLAUSE_WORDS - 1}}}[^{_SPACE}]+[{_SPACE}]*"
+    rf"|[{_SPACE}]+"
+)
 
 
 def _clauses(paragraph: Column) -> Column:
-    """Runs of a few words with the spaces behind them; together they are the paragraph."""
-    pattern = rf"(?:[^ ]*+ ){{1,{CLAUSE_WORDS}}}+|[^ ]++"
-    return F.regexp_extract_all(paragraph, F.lit(pattern), F.lit(0))
+    """Runs of words with the white space around them; together they are the paragraph."""
+    return F.regexp_extract_all(paragraph, F.lit(CLAUSE), F.lit(0))
 
 
 def _digest(children: Column) -> Column:
@@ -43,20 +52,26 @@ def _paragraph(paragraph: Column) -> Column:
 
 
 def _sections(text: Column) -> Column:
-    """Arrays of paragraphs. A section ends with a blank line or at its greatest length."""
-
-    def cut(part: Column) -> Column:
-        lines = F.split(part, "\n", -1)
-        return let(
-            lines,
-            lambda ls: F.transform(
-                F.sequence(F.lit(0), F.floor((F.size(ls) - 1) / F.lit(SECTION_PARAGRAPHS)).cast("int")),
-                lambda i: F.slice(ls, i * SECTION_PARAGRAPHS + 1, F.lit(SECTION_PARAGRAPHS)),
-            ),
-        )
+    """Arrays of paragraphs, as :func:`_paragraph` gives them."""
+
+    def cut(paragraphs: Column) -> Column:
+        def ends_here(p: Column, i: Column) -> Column:
+            return F.startswith(p["digest"], F.lit(SECTION_END)) | (i == F.size(paragraphs) - 1)
+
+        places = F.filter(F.transform(paragraphs, lambda p, i: F.when(ends_here(p, i), i + 1)), lambda e: e.isNotNull())
+
+        def slices(ends: Column) -> Column:
+            def one(end: Column, k: Column) -> Column:
+                start = F.coalesce(F.get(ends, k - 1), F.lit(0))
+                return F.slice(paragraphs, start + 1, end - start)
+
+            return F.transform(ends, one)
+
+        return let(places, slices)
 
     # the blank line itself stays with the section before it, as an empty last paragraph
-    return F.flatten(F.transform(F.split(text, r"(?<=\n)\n", -1), cut))
+    parts = F.split(text, r"(?<=\n)\n", -1)
+    return F.flatten(F.transform(parts, lambda part: let(F.transform(F.split(part, "\n", -1), _paragraph), cut)))
 
 
 def fingerprint(text: Column) -> Column:
@@ -66,13 +81,10 @@ def fingerprint(text: Column) -> Column:
     """
     text = F.coalesce(text, F.lit(""))
 
-    def node(paragraphs: Column) -> Column:
-        return let(
-            F.transform(paragraphs, _paragraph),
-            lambda ps: F.struct(
-                _digest(F.transform(ps, lambda p: p["digest"])).alias("digest"),
-                F.array_join(F.transform(ps, lambda p: p["leaves"]), ".").alias("leaves"),
-            ),
+    def node(ps: Column) -> Column:
+        return F.struct(
+            _digest(F.transform(ps, lambda p: p["digest"])).alias("digest"),
+            F.array_join(F.transform(ps, lambda p: p["leaves"]), ".").alias("leaves"),
         )
 
     return let(
@@ -116,64 +128,109 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def changed_sections(a: Column, b: Column) -> Column:
-    """0-based places of the sections whose branches differ (those of the longer text included)."""
+    """Struct ``a, b``: 0-based places of each text's sections whose digest the other text does not have.
+
+    Both are empty for equal roots, and where sections only changed places or number.
+    """
     heads = [
         F.transform(F.split(F.substring(x, ROOT + 2, 1 << 30), r"\|", -1), lambda s: F.substring(s, 1, NODE))
         for x in (a, b)
     ]
-    return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(
-        let(
-            F.struct(heads[0].alias("a"), heads[1].alias("b")),
-            lambda h: F.filter(
-                F.sequence(F.lit(0), F.greatest(F.size(h["a"]), F.size(h["b"])) - 1),
-                lambda i: ~F.get(h["a"], i).eqNullSafe(F.get(h["b"], i)),
-            ),
-        )
+
+    def only(these: Column, others: Column) -> Column:
+        strange = let(F.array_except(these, others), lambda e: F.transform(these, lambda h, i: F.when(F.array_contains(e, h), i)))
+        return F.filter(strange, lambda i: i.isNotNull())
+
+    return let(
+        F.struct(heads[0].alias("a"), heads[1].alias("b")),
+        lambda h: F.struct(only(h["a"], h["b"]).alias("a"), only(h["b"], h["a"]).alias("b")),
     )
 
 
-def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", rows_per_piece: int = 200_000) -> DataFrame:
+def _cuts(ids: DataFrame) -> Column:
+    """The distinct ids in ascending order, as a constant array."""
+    found = ids.distinct().sort("_id").select(F.to_json("_id", {"ignoreNullFields": "false"}).alias("j")).collect()
+    return F.from_json(F.lit(f"[{','.join(r['j'] for r in found)}]"), f"array<{dict(ids.dtypes)['_id']}>")
+
+
+def _cuts_upto(cuts: Column, id_: Column) -> Column:
+    """How many of the ascending ``cuts`` are not above the id, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["lo"] + at["hi"], 1)
+        right = (at["lo"] < at["hi"]) & (F.get(cuts, middle) <= id_)
+        return F.struct(
+            F.when(right, middle + 1).otherwise(at["lo"]).alias("lo"), F.when(right, at["hi"]).otherwise(middle).alias("hi")
+        )
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts) + F.lit(1.0))).cast("int"))
+    return F.aggregate(steps, start, halve, lambda at: at["lo"])
+
+
+def compare_with_next(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = 32 << 20, most_blocks: int = 100_000
+) -> DataFrame:
     """Fingerprints of every text, of its edit, and their likenesses.
 
     The edit replaces the last quarter of the characters (rounded down) by the first as many of the next
     text in key order; after the last comes the first. Null keys come first, null texts are empty, rows
     that are equal give equal rows and count once in the order, and a single text is its own next.
     Columns: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Texts move once: the key order is cut at a few hash-chosen rows into blocks of about ``block_bytes``
+    (larger ones beyond ``most_blocks``), and a row at a cut goes to the block before as well, as the next
+    text of that block's last. The cuts, one small struct per block, are all that the driver sees.
     """
     content = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("_key"), content.alias("_text")).withColumn(
-        "_id", F.struct(F.col("_key").alias("k"), F.xxhash64("_text").alias("h"), F.crc32(F.col("_text").cast("binary")).alias("c"))
+    digest = F.struct(
+        F.col("_key").alias("k"), F.xxhash64("_text").alias("h"), F.crc32(F.col("_text").cast("binary")).alias("c")
     )
-    narrow = rows.groupBy("_id").agg(F.max(F.char_length("_text")).alias("n"), F.count(F.lit(1)).alias("_rows"))
-    placed = materialize(numbered(narrow, [F.col("_id")], "_place", rows_per_piece))
-    total = placed.count()
-    following = placed.select(
-        F.pmod(F.col("_place") - 1, F.lit(max(total, 1))).alias("_place"), F.col("_id").alias("_next")
+    rows = docs.select(F.col(key).alias("_key"), content.alias("_text")).withColumn("_id", digest)
+    narrow = materialize(
+        rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_times"), F.max(F.octet_length("_text")).alias("_bytes"))
     )
-    links = placed.join(following, "_place").select("_id", "_next", "n", F.floor(F.col("n") / 4).cast("int").alias("_cut"))
-    links = materialize(links)
-    # what the document before needs of this one: its first characters and its fingerprint
-    # (repeated rows give it once: its few columns are told apart, not the texts)
-    wanted = links.select(F.col("_next").alias("_id"), F.col("_id").alias("_for"), F.col("_cut").alias("_need"))
-    parts = rows.join(wanted, "_id").select(
-        F.col("_for").alias("_id"), F.col("_text").substr(F.lit(1), F.col("_need")).alias("_head"), fingerprint(F.col("_text")).alias("_next_print")
+    seen = narrow.agg(F.count(F.lit(1)).alias("n"), F.max("_times").alias("times"), F.sum(F.col("_bytes").cast("long")).alias("bytes")).first()
+    several = (seen["times"] or 0) > 1
+    if several:  # repeated rows are one row in the order, and come back at the end
+        rows = rows.groupBy("_id").agg(
+            F.first("_key").alias("_key"), F.first("_text").alias("_text"), F.count(F.lit(1)).alias("_times")
+        )
+    blocks = min(most_blocks, 1 + (seen["bytes"] or 0) // block_bytes)
+    chosen = F.pmod(F.xxhash64("_id.k", "_id.h", "_id.c"), F.lit(-(-seen["n"] // blocks))) == 0
+    first = narrow.agg(F.min("_id").alias("_id")).filter("_id is not null")
+    cuts = _cuts(first.union(narrow.filter(chosen).select("_id")) if blocks > 1 else first)
+
+    def homes(found: Column) -> Column:
+        """Blocks 1, 2, ... of a row: its own, and the one before if the row opens its block."""
+        own = F.struct(found.alias("block"), F.lit(False).alias("guest"))
+        before = F.struct(F.when(found > 1, found - 1).otherwise(F.size(cuts)).alias("block"), F.lit(True).alias("guest"))
+        return F.when(F.get(cuts, found - 1) == F.col("_id"), F.array(own, before)).otherwise(F.array(own))
+
+    moved = (
+        rows.select("*", F.inline(let(_cuts_upto(cuts, F.col("_id")), homes)))
+        .repartition("block")
+        .withColumn("fingerprint", fingerprint(F.col("_text")))
     )
-    given = materialize(parts.dropDuplicates(["_id"]))
-    edited = F.concat(F.col("_text").substr(F.lit(1), F.char_length("_text") - F.floor(F.char_length("_text") / 4).cast("int")), F.col("_head"))
-    # a text's own fingerprint is taken again: that costs less than to store and shuffle it
-    whole = rows.join(given, "_id").select(
+    order = Window.partitionBy("block").orderBy("guest", "_id")
+    pairs = moved.withColumns({"_next": F.lead("_text").over(order), "_next_print": F.lead("fingerprint").over(order)}).filter("not guest")
+    cut = F.floor(F.char_length("_text") / 4).cast("int")
+    edited = F.concat(F.col("_text").substr(F.lit(1), F.char_length("_text") - cut), F.col("_next").substr(F.lit(1), cut))
+    pairs = pairs.withColumn("_edited", edited).withColumn("edited_fingerprint", fingerprint(F.col("_edited")))
+    out = pairs.select(
         F.col("_key").alias(key),
         F.char_length("_text").cast("long").alias("n_chars"),
-        edited.alias("_edited"),
-        fingerprint(F.col("_text")).alias("fingerprint"),
-        "_next_print",
-    ).withColumn("edited_fingerprint", fingerprint(F.col("_edited")))
-    return whole.select(
-        key,
-        "n_chars",
         F.sha2(F.col("_edited"), 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("_next_print")).alias("near_next"),
+        *["_times"] * several,
     )
+    if not several:
+        return out
+    # in two steps, so that a row repeated very often is never one huge array
+    most = 100_000
+    out = out.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_times") - 1) / most))))
+    here = F.least(F.lit(most), F.col("_times") - F.col("_part") * most).cast("int")
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), here))).drop("_times", "_part", "_copy")

@@ -24,10 +24,10 @@ FINGERPRINTS = f"""with d as (select doc_id, coalesce(text, '') as t from docume
     lines as (select x, unnest(string_split(x, chr(10))) as l, unnest(range(1, len(string_split(x, chr(10))) + 1)) as i from texts),
     broken as (select *, coalesce(sum((l = '' and i > 1)::int) over (partition by x order by i rows between unbounded preceding and 1 preceding), 0)
         as sec from lines),
-    placed as (select x, i, sec, (row_number() over (partition by x, sec order by i) - 1) // {P.SECTION_PARAGRAPHS} as sub,
-        list_transform(regexp_extract_all(l, '(?:[^ ]* ){{1,{P.CLAUSE_WORDS}}}|[^ ]+'), lambda c: sha256(c)) as leaves from broken),
-    paragraphs as (select x, i, sec, sub, sha256(coalesce(array_to_string(leaves, ''), '')) as digest,
-        list_transform(leaves, lambda c: c[1:{P.LEAF}]) as short from placed),
+    leaved as (select x, i, sec, list_transform(regexp_extract_all(l, '{P.CLAUSE}'), lambda c: sha256(c)) as leaves from broken),
+    digested as (select x, i, sec, sha256(coalesce(array_to_string(leaves, ''), '')) as digest, list_transform(leaves, lambda c: c[1:{P.LEAF}]) as short from leaved),
+    paragraphs as (select *, coalesce(sum(starts_with(digest, '{P.SECTION_END}')::int)
+        over (partition by x, sec order by i rows between unbounded preceding and 1 preceding), 0) as sub from digested),
     sections as (select x, sec, sub, sha256(string_agg(digest, '' order by i)) as digest,
         string_agg(coalesce(array_to_string(short, ''), ''), '.' order by i) as body from paragraphs group by 1, 2, 3),
     trees as (select x, sha256(string_agg(digest, '' order by sec, sub)) as root,

@@ -146,7 +146,7 @@ def likeness(a, b):
 
     def leaves(f):
         text = "".join("".join(s.split(".")[1:]) for s in f[65:].split("|"))
-        return {text[i : i + 6] for i in range(0, len(text), 6)}
+        return {text[i : i + 8] for i in range(0, len(text), 8)}
 
     x, y = leaves(a), leaves(b)
     return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0

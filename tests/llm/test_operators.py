@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -284,7 +285,7 @@ def check_prints(got, texts):
 
 def test_fingerprints(spark):
     texts = passages(5, 50)
-    check_prints(fingerprints.compare_with_next(clashing(frame(spark, texts)), rows_per_piece=7).collect(), texts)
+    check_prints(fingerprints.compare_with_next(clashing(frame(spark, texts)), block_bytes=2000).collect(), texts)
     assert fingerprints.compare_with_next(empty(spark)).count() == 0
     alone = fingerprints.compare_with_next(frame(spark, [(9, "a b c d e f g h")])).first()
     assert alone["near_next"] == 1.0
@@ -294,10 +295,44 @@ def test_fingerprints(spark):
 
 def test_branches_locate_edits(spark):
     a = "\n\n".join(f"section {i} one\nline two {i}" for i in range(9))
-    b = a.replace("line two 4", "line two four")
-    df = spark.createDataFrame([(a, b)], "a string, b string")
-    found = df.select(fingerprints.changed_sections(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b"))).alias("c"))
-    assert found.first()["c"] == [4]
+    edits = {a.replace("line two 4", "line two four"): (1, 1), a.replace("line two 4", "line two 4\nmore"): (1, 1), a: (0, 0)}
+    df = spark.createDataFrame([(a, b, a[: a.index("line two 4") + 10]) for b in edits], "a string, b string, upto string")
+    p = {c: fingerprints.fingerprint(F.col(c)) for c in df.columns}
+    place = F.size(F.split(p["upto"], r"\|")) - 1
+    for r in df.select("b", fingerprints.changed_sections(p["a"], p["b"]).alias("c"), place.alias("at")).collect():
+        n, m = edits[r["b"]]
+        assert (r["c"]["a"], len(r["c"]["b"])) == ([r["at"]] * n, m)
+
+
+def test_clauses_are_the_whole_text_and_follow_the_content(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice("abs.y \t\x0b\r\f日4\u00a0😀") for _ in range(r.randint(0, 300))) for _ in range(200)]
+    found = spark.createDataFrame([(x,) for x in texts], "t string").select("t", fingerprints._clauses(F.col("t")).alias("c")).collect()
+    assert all("".join(x["c"]) == x["t"] for x in found)
+    assert all(len(re.findall(r"[^\x20\x09-\x0D]+", c)) <= fingerprints.CLAUSE_WORDS for x in found for c in x["c"])
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\x0b"])
+def test_a_small_edit_changes_little(spark, space):
+    r = random.Random(4)
+    line = space.join("".join(r.choice("abcdefgnorstuy") for _ in range(r.randint(1, 9))) for _ in range(500))
+    long = "\n".join(space.join(line.split(space)[i * 20 : i * 20 + 20]) for i in range(25)) + "\n"
+    pairs = [(line, "new" + space + line), (line, line + "x"), (long * 20, "one more line\n" + long * 20), (long, long.replace("\n", "\nnew ", 1))]
+    p = [fingerprints.fingerprint(F.col(c)) for c in "ab"]
+    got = spark.createDataFrame(pairs, "a string, b string").select(
+        fingerprints.likeness(*p).alias("near"), fingerprints.changed_sections(*p)["b"].alias("changed")
+    ).collect()
+    assert all(0.9 < x["near"] < 1.0 and len(x["changed"]) <= 2 for x in got)
+
+
+def test_blocks_do_not_change_prints(spark):
+    texts = [*passages(6, 40), (7, "other"), (None, "a"), (None, "b"), (8, "twice, s"), (8, "twice, s")]
+    df = frame(spark, texts)
+    want = None
+    for options in ({}, {"block_bytes": 1}, {"block_bytes": 5000}, {"block_bytes": 1, "most_blocks": 3}):
+        got = rows(fingerprints.compare_with_next(df, **options), "doc_id", "edited_sha256", "edited_fingerprint", "near_edited", "near_next")
+        want = want or got
+        assert got == want and len(got) == len(texts)
 
 
 def test_fingerprints_of_the_table(spark, table):
