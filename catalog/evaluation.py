@@ -255,6 +255,40 @@ def _(spark, d):
     return rounded(scored.drop("confusion_matrix", "confusion_matrix_labels"))
 
 
+@query("evaluate_named_labels", predictions_sql(T3, P3) + """, n as (select * from (values (0, 'label 0'), (1, '1'), (2, 'label 2')) n(v, name))
+    select a.v::bigint as place, a.name as name, string_agg((select count(*) from y where y_true = a.v and y_pred = b.v), ',' order by b.v) as cells
+    from n a, n b group by 1, 2""")
+def _(spark, d):
+    names = lambda y: F.when(y != 1, F.concat(F.lit("label "), y.cast("string")))
+    scored = M.evaluate(predictions(spark, d, T3, P3), STATUS_TASK.to_target, render_target=names)
+    both = scored.select(F.posexplode(F.arrays_zip("confusion_matrix_labels", "confusion_matrix")).alias("place", "_e"))
+    cells = F.array_join(F.transform("_e.confusion_matrix", lambda n: n.cast("string")), ",")
+    return both.select(F.col("place").cast("bigint").alias("place"), F.col("_e.confusion_matrix_labels").alias("name"), cells.alias("cells"))
+
+
+MANY = """with y as (select o_custkey as y_true, case when o_orderkey % 4 = 0 then o_custkey + 1 else o_custkey end as y_pred from orders)"""
+
+
+def many_labels(spark, d):
+    said = F.when(F.col("o_orderkey") % 4 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("y_true"), said.alias("y_pred"))
+
+
+@query("metrics_many_labels", MANY + """, t as (select y_true as label, count(*) as support, count(*) filter (where y_pred = y_true) as hit from y group by 1),
+    g as (select y_pred as label, count(*) as said from y group by 1),
+    p as (select label, coalesce(support, 0) as support, coalesce(said, 0) as said, coalesce(hit, 0) as hit from t full join g using (label)),
+    q as (select *, case when said = 0 then 0 else hit / said end as precision, case when support = 0 then 0 else hit / support end as recall,
+          case when support + said = 0 then 0 else 2 * hit / (support + said) end as f1 from p)"""
+    + scores_sql(False).replace("avg(recall), 6) as balanced_accuracy", "avg(recall) filter (where support > 0), 6) as balanced_accuracy"))
+def _(spark, d):
+    return rounded(M.classification_metrics(many_labels(spark, d)))
+
+
+@query("confusion_counts", MANY + " select y_true, y_pred, count(*) as cnt from y group by 1, 2")
+def _(spark, d):
+    return M.confusion_counts(many_labels(spark, d))
+
+
 @query("evaluate_nothing_valid", """select cast(null as double) as rmse, cast(null as double) as mse, cast(null as double) as mae,
     cast(null as double) as r2, (select count(*) from orders) as missing_count""")
 def _(spark, d):

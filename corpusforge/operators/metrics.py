@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Most labels for which a whole confusion grid is laid out.
+GRID_LABELS = 1000
 
 def eval_frame(corpus: DataFrame, to_target, parse, output: str = "output") -> DataFrame:
     """Add ``target``: the output mapped directly, else parsed first and then mapped."""
@@ -33,15 +35,23 @@ def _counts(df: DataFrame) -> DataFrame:
     return pairs.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def confusion(df: DataFrame) -> DataFrame:
-    """``y_true, y_pred, cnt`` over the whole label grid; up to two labels use the grid 0, 1."""
+def confusion_counts(df: DataFrame) -> DataFrame:
+    """``y_true, y_pred, cnt`` of the pairs that occur, for any number of labels."""
+    return _counts(df)
+
+
+def confusion(df: DataFrame, grid_labels: int = GRID_LABELS) -> DataFrame:
+    """``y_true, y_pred, cnt`` over the whole label grid; up to two labels use the grid 0, 1.
+
+    A grid has the square of its labels as cells, so there is none (no rows) for more than ``grid_labels``
+    labels; :func:`confusion_counts` has the cells that are not zero for any number.
+    """
     counts = _counts(df)
-    seen = counts.agg(
-        F.array_union(F.collect_set("y_true"), F.collect_set("y_pred")).alias("_l"), F.count_distinct("y_true").alias("_k")
-    )
+    labels = counts.select(F.explode(F.array("y_true", "y_pred")).alias("_v")).distinct().limit(grid_labels + 1)
     binary = F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))
     small = (F.size("_l") <= 2) & F.forall("_l", lambda v: v.isin(0, 1))
-    labels = seen.select(F.when(small, binary).otherwise(F.col("_l")).alias("_l"))
+    labels = labels.agg(F.collect_list("_v").alias("_l")).filter(F.size("_l") <= max(grid_labels, 2))
+    labels = labels.select(F.when(small, binary).otherwise(F.col("_l")).alias("_l"))
     grid = labels.select(F.explode("_l").alias("y_true"), "_l").select("y_true", F.explode("_l").alias("y_pred"))
     return grid.join(counts, ["y_true", "y_pred"], "left").select("y_true", "y_pred", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
@@ -121,10 +131,19 @@ def regression_metrics(df: DataFrame) -> DataFrame:
     return df.agg(F.sqrt(mse).alias("rmse"), mse.alias("mse"), F.avg(F.abs(y - p)).alias("mae"), r2.alias("r2"))
 
 
-def evaluate(predictions: DataFrame, to_target, regression: bool = False, label: str = "label") -> DataFrame:
+def evaluate(
+    predictions: DataFrame,
+    to_target,
+    regression: bool = False,
+    label: str = "label",
+    render_target=None,
+    grid_labels: int = GRID_LABELS,
+) -> DataFrame:
     """All scores of a prediction table with ``target``: valid rows only, plus ``missing_count``.
 
-    Without any valid row every score is NULL.
+    Without any valid row every score is NULL. With ``render_target`` (label id to text) the labels of the
+    confusion matrix are texts; an id that it cannot render stays as it is. With more than ``grid_labels``
+    labels the matrix and its labels are NULL, all else is computed from sparse counts.
     """
     valid = valid_predictions(predictions, to_target, label)
     scores = regression_metrics(valid) if regression else classification_metrics(valid)
@@ -132,13 +151,14 @@ def evaluate(predictions: DataFrame, to_target, regression: bool = False, label:
     if regression:
         scores = scores.select(*[F.when(F.col("mse").isNotNull(), F.col(c)).alias(c) for c in scores.columns])
         return scores.crossJoin(missing)
-    cm = confusion(valid).groupBy("y_true").agg(
+    cm = confusion(valid, grid_labels).groupBy("y_true").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("y_pred", "cnt"))), lambda e: e["cnt"]).alias("_row")
     )
-    ordered = F.sort_array(F.collect_list(F.struct("y_true", "_row")))
-    table = cm.agg(
-        F.transform(ordered, lambda e: e["_row"]).alias("confusion_matrix"),
-        F.transform(ordered, lambda e: e["y_true"]).alias("confusion_matrix_labels"),
+    name = F.col("y_true") if render_target is None else F.coalesce(render_target(F.col("y_true")).cast("string"), F.col("y_true").cast("string"))
+    ordered = F.sort_array(F.collect_list(F.struct("y_true", "_row", name.alias("_name"))))
+    table = cm.agg(ordered.alias("_cells")).select(
+        F.when(F.size("_cells") > 0, F.transform("_cells", lambda e: e["_row"])).alias("confusion_matrix"),
+        F.when(F.size("_cells") > 0, F.transform("_cells", lambda e: e["_name"])).alias("confusion_matrix_labels"),
     )
     cell = lambda i, j: F.when(
         F.size("confusion_matrix") == 2, F.get(F.get("confusion_matrix", F.lit(i)), F.lit(j))

@@ -123,6 +123,25 @@ def test_third_label_only_in_predictions(spark):
     assert M.confusion(df).count() == 9
 
 
+def test_many_labels_need_no_grid(spark):
+    n = 100_000
+    df = spark.range(n).select(F.col("id").alias("target"), (F.col("id") + (F.col("id") % 2)).cast("string").alias("label"))
+    scored = M.evaluate(df, lambda text: text.try_cast("bigint")).first()
+    assert scored["accuracy"] == 0.5 and scored["confusion_matrix"] is None and scored["confusion_matrix_labels"] is None
+    pairs = M.valid_predictions(df, lambda text: text.try_cast("bigint"))
+    assert M.confusion(pairs).count() == 0 and M.confusion_counts(pairs).count() == n
+
+
+def test_a_grid_at_its_limit_and_labels_by_name(spark):
+    df = spark.createDataFrame([(0, "0"), (1, "2"), (2, "2"), (2, None)], "target int, label string")
+    named = M.evaluate(df, lambda t: t.try_cast("int"), render_target=lambda y: F.when(y > 0, F.concat(F.lit("n"), y)), grid_labels=3).first()
+    assert named["confusion_matrix_labels"] == ["0", "n1", "n2"] and named["missing_count"] == 1
+    assert [list(r) for r in named["confusion_matrix"]] == [[1, 0, 0], [0, 0, 1], [0, 0, 1]]
+    assert M.evaluate(df, lambda t: t.try_cast("int"), grid_labels=2).first()["confusion_matrix"] is None
+    nothing = M.evaluate(df.limit(0), lambda t: t.try_cast("int")).first()
+    assert nothing["accuracy"] is None and [list(r) for r in nothing["confusion_matrix"]] == [[0, 0], [0, 0]]
+
+
 def test_unknown_names_are_errors():
     with pytest.raises(ValueError, match="adult"):
         table_spec("nope")
