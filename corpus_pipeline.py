@@ -11,28 +11,44 @@ from corpusforge.session import shared_folder
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the thresholds come from the labels beside the documents."""
+    """Documents that the quality rules keep; the thresholds come from the labels beside the documents.
+
+    Null and empty texts have no words and go; repeated rows are judged alike; a null doc_id has no label.
+    """
     judged = quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep_row=True)
     return judged.filter("kept").select("row.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that match an earlier line; ``n_chars`` follows the text."""
+    """All documents, without the lines that match an earlier line; ``n_chars`` follows the text.
+
+    Every row stays, with a null or empty text too; rows of one doc_id and text are one document.
+    """
     return lines.replace_text(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: shingles of five words, Jaccard 0.8 or at most 3 of 64 bits differ."""
+    """One document of each group of near-duplicates: shingles of five words, Jaccard 0.8 or at most 3 of 64 bits differ.
+
+    Texts without words are one group, null and empty alike; equal rows are in one group; without a doc_id
+    each text is a document of its own.
+    """
     return simhash.keep_one(docs, reach=3, shingle_words=similar.SHINGLE_WORDS, more_links=similar.more_links)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that the sources take their target shares."""
+    """Documents repeated so that the sources take their target shares, none more than three times.
+
+    A null source is a source, the last; a null text has no words; equal rows may be taken once more or less.
+    """
     return mixing.mix(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' tokens, placed in sequences."""
+    """Pieces of the documents' tokens, placed in sequences.
+
+    A null or empty text is its end token alone; long texts are cut into pieces; each equal row is packed.
+    """
     return packing.pack(docs)
 
 
